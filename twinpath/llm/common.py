@@ -61,19 +61,14 @@ def with_order_bucket(df: DataFrame, key: str, buckets: int, name: str = "bucket
     bucket; the scan for them reads that column alone. Equal keys share a bucket.
     """
     probabilities = [i / buckets for i in range(1, buckets)]
-    bounds: list[int] = []
-    if probabilities:
-        found = df.agg(F.percentile_approx(key, probabilities, max(10_000, 20 * buckets)).alias("q")).first()["q"]
-        bounds = sorted(set(found or []))
+    found = df.agg(F.percentile_approx(key, probabilities, max(10_000, 20 * buckets)).alias("q")).first()["q"] if probabilities else None
+    bounds = sorted(set(found or []))
     if not bounds:
-        bucket = F.lit(0)
-    else:
-        # a binary search over the sorted bounds, as an expression of logarithmic depth
-        def search(lo: int, hi: int) -> Column:
-            if lo == hi:
-                return F.lit(lo)
-            mid = (lo + hi) // 2
-            return F.when(F.col(key) <= F.lit(bounds[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
-
-        bucket = search(0, len(bounds))
-    return df.withColumn(name, F.when(F.col(key).isNull(), F.lit(-1)).otherwise(bucket).cast("int"))
+        return df.withColumn(name, F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.lit(0)))
+    # binary search: the number of bounds below the key
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+    halve = lambda s, _: F.when(s["lo"] >= s["hi"], s).when(F.get(table, middle(s)) < F.col(key), F.struct((middle(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), middle(s).alias("hi")))
+    steps = F.sequence(F.lit(0), F.lit(len(bounds).bit_length()))
+    place = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), halve)["lo"]
+    return df.withColumn(name, F.when(F.col(key).isNull(), F.lit(-1)).otherwise(place))

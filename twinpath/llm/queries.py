@@ -7,10 +7,54 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import chat, license_scan, merkle, simhash
 from .common import read
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, formatted and read back."""
+    mark = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", mark), (-7, 1, "assistant", mark)], "conv_id bigint, turn bigint, role string, text string")
+    made = chat.formatted(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe))
+    back = made.withColumn("turns", chat.turns_of(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("segments")))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of `documents`, of an edited text each, and their likenesses."""
+    rows = merkle.with_next(read(spark, sf_dir, "documents")).withColumn("edited", merkle.edited(F.col("text"), F.col("next_text")))
+    rows = rows.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited", "next_text")
+    for prefix, column in (("", "text"), ("edited_", "edited"), ("next_", "next_text")):
+        rows = merkle.fingerprints(rows, column, prefix).drop(column)
+    near = lambda other: merkle.likeness(F.col("blocks"), F.col("fingerprint"), F.col(f"{other}_blocks"), F.col(f"{other}_fingerprint"))
+    rows = rows.withColumn("changed", merkle.differences(F.col("sections"), F.col("edited_sections")))
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        "fingerprint",
+        "edited_fingerprint",
+        near("edited").alias("near_edited"),
+        near("next").alias("near_next"),
+        F.size("changed").cast("bigint").alias("n_changed_paragraphs"),
+        F.get("changed", F.lit(0))["section"].cast("bigint").alias("first_changed_section"),
+        F.get("changed", F.lit(0))["paragraph"].cast("bigint").alias("first_changed_paragraph"),
+    )
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every text of `documents`."""
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of `documents`: 3-word shingles, at most 2 differing bits."""
     found = simhash.groups(read(spark, sf_dir, "documents"), shingle_words=3, max_bits=2, segments=7)
@@ -18,7 +62,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_simhash": op7_simhash}
+    return {"op4_chat": op4_chat, "op6_merkle": op6_merkle, "op7_simhash": op7_simhash, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:

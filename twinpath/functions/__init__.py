@@ -1 +1 @@
-
+"""Column functions: no I/O, no shuffle."""

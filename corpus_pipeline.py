@@ -1,20 +1,76 @@
-"""The corpus pipeline over `documents`: each stage is written as Parquet and reread by the next."""
+"""The corpus pipeline over `documents`: each stage is written as Parquet and reread by the next.
+
+The stages, in order: drop what the quality classifier rejects, keep one
+document of each SimHash group, drop documents that hold benchmark items, redact
+personal data, and encode with a SentencePiece model. All but the last return
+the columns of their input; rows with null ids stay, for no group can name them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from twinpath.llm import decontaminate, pii, quality, sentencepiece_codec, simhash
+from twinpath.llm.common import read
+from twinpath.llm.queries import PIECE_MODEL, tokenizer_path
+from twinpath.llm.token_planes import new_path
+
+#: Shingles of five words; 61 of 64 equal bits are a similarity of 0.95.
+SHINGLE_WORDS, MAX_BITS = 5, 3
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labels that aren't held out, doesn't reject."""
+    model = quality.train(docs, read(spark, sf_dir, "labels"))
+    return quality.scored(docs.withColumn("_row", F.struct("*")), model).filter("predicted = 1").select("_row.*")
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest id; of repeated rows, one."""
+    found = simhash.groups(docs, shingle_words=SHINGLE_WORDS, max_bits=MAX_BITS)
+    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(docs.filter("doc_id is null"))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, near matches included."""
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose personal data is replaced by its kind; n_chars follows."""
+    made = pii.redact(docs)
+    return made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as ids, with the check that these give the text back and agree with the model's own library."""
+    return sentencepiece_codec.encode(docs, tokenizer_path(PIECE_MODEL))
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_stage),
+    ("simhash_near_dedup", near_dedup_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("pii", pii_stage),
+    ("sentencepiece", sentencepiece_stage),
+]
 
 #: The stages hold a fitted model, approximate matching and a tokenizer: no SQL gives these rows.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage in turn over `documents`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """Every stage in turn over `documents`; the result of each but the last is written and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            path = new_path(spark, name)
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs

@@ -131,7 +131,9 @@ def decision_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    EVENTS_SQL.replace(with_sql("frames"), with_sql("mapping")) + f"""SELECT m.{P.replace(", ", ", m.")}, m.runA_frame, arg_min(e.event, abs(e.event - m.runB_frame) * 1000000 + e.event) AS event FROM mapping m JOIN merged e ON e.recording = m.recording AND e.camera = m.camera AND e.run = 'runB' AND abs(e.event - m.runB_frame) <= 15 GROUP BY ALL"""
+    with_sql("mapping").rstrip()
+    + EVENTS_SQL.removeprefix(with_sql("frames").rstrip())
+    + f"""SELECT m.{P.replace(", ", ", m.")}, m.runA_frame, arg_min(e.event, abs(e.event - m.runB_frame) * 1000000 + e.event) AS event FROM mapping m JOIN merged e ON e.recording = m.recording AND e.camera = m.camera AND e.run = 'runB' AND abs(e.event - m.runB_frame) <= 15 GROUP BY ALL"""
 )
 def nearest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event of run B nearest to each partner, within fifteen frames."""

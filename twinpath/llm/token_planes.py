@@ -22,8 +22,8 @@ first; an empty table writes an empty one; further columns are not read.
 
 from __future__ import annotations
 
+import functools
 import json
-import re
 import struct
 import uuid
 import zlib
@@ -36,7 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ensure_checkpoint_dir, shuffle_partitions, slices, text_of, with_order_bucket
-from .word_cache import WordCache
+from .word_cache import WHITE, ByteParts, Parted, WordEncoder, byte_slices
+from .word_cache import packed as packed_ids
 
 MAGIC = b"TPL1"
 BLOCK_IDS = 1 << 16
@@ -147,18 +148,24 @@ def splits_at_spaces(tokenizer_json: dict) -> bool:
     return not tokenizer_json.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
 
 
-def encoder(tokenizer_path: str) -> WordCache:
-    """A cache before a tokenizer file; strings of special tokens in a text are ordinary text."""
+@functools.cache  # a worker keeps it from task to task
+def encoder(tokenizer_path: str) -> WordEncoder:
+    """An encoder by a tokenizer file; strings of special tokens in a text are ordinary text."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
     tokenizer.encode_special_tokens = True
-    lengths = None
+
+    def whole(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    learn = None
     if splits_at_spaces(json.loads(tokenizer.to_str())):
-        # the characters of a byte-level token stand for a byte each
+        # the letters of a byte-level token stand for a byte each
         lengths = [len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())]
+        learn = ByteParts(tokenizer, Parted(whole, lengths, 1, " "))
     # a space before white space or the end may go with either side
-    return WordCache(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], lengths, 1, re.compile(r" (?=\s|$)"), False)
+    return WordEncoder(whole, learn, f" ({WHITE}|$)", lambda words: [packed_ids(ids) for ids in whole(words)])
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS, bits: int = 8, shards: int | None = None) -> None:
@@ -169,19 +176,19 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col:
     ordered = placed.repartition(shuffle_partitions(spark), "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "text")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, end, shard = encoder(tokenizer_path), struct.pack("<I", end_id), None
+        coder, end, shard = encoder(tokenizer_path), struct.pack("<I", end_id), None
 
         def record(row: tuple) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, ARROW_CHUNKS, strict=True)], schema=ARROW_CHUNKS)
 
-        for batch in slices(batches):
-            numbers, ids, texts = (batch.column(i).to_pylist() for i in (2, 0, 1))
-            for number, doc_id, found in zip(numbers, ids, cache.batch(texts), strict=True):
+        for batch in (part for whole in batches for part in byte_slices(whole, 1)):
+            numbers, ids = batch.column(2).to_pylist(), batch.column(0).to_pylist()
+            for number, doc_id, found in zip(numbers, ids, coder.batch(batch.column(1)), strict=True):
                 if shard is None or shard.number != number:
                     if shard is not None:
                         yield from map(record, shard.rest())
                     shard = Shard(number, block_ids, bits)
-                yield from map(record, shard.add(doc_id, found + end))
+                yield from map(record, shard.add(doc_id, found.tobytes() + end))
         if shard is not None:
             yield from map(record, shard.rest())
 

@@ -12,6 +12,7 @@ an empty result; further columns are kept by `encode`.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
@@ -20,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
-from .word_cache import WordCache
+from .word_cache import Parted, Remembered, WordEncoder, byte_slices
 
 MARK = "▁"
 #: Kinds of pieces, kinds of models and field numbers of the public protobuf.
@@ -129,56 +130,74 @@ def rebuilt(model: Model):
 
 
 class Codec:
-    """Encodes and decodes batches as the model's own library does."""
+    """Encodes and decodes batches as the model's own library does.
 
-    def __init__(self, path: str, threads: int = 2) -> None:
+    With `verify`, whatever goes to the tokenizers library, whole texts or new
+    words, goes to the sentencepiece library too, and the ids are compared; a
+    text's words being independent, that verifies every text. `differing` counts
+    the comparisons that failed.
+    """
+
+    def __init__(self, path: str, threads: int = 2, verify: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         model = Model(path)
-        self.tokenizer = rebuilt(model)
-        lengths = None
+        self.tokenizer, self.threads, self.differing, self.processor = rebuilt(model), threads, 0, None
+        if verify:
+            import sentencepiece
+
+            self.processor = sentencepiece.SentencePieceProcessor(model_file=path)
+        learn = None
         if model.words_independent():
-            lengths = [1 if kind == BYTE else len(p.encode()) for p, _, kind in model.pieces]
+            learn = Remembered(Parted(self.whole, [1 if kind == BYTE else len(p.encode()) for p, _, kind in model.pieces], len(MARK.encode()), ""))
         # a mark in the text itself, and a space at an end or beside another, may go with either side; the empty text gets no mark
-        dependent = re.compile(f"{MARK}|^ | (?= |$)|^$")
-        self.cache = WordCache(lambda texts: [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)], lengths, len(MARK.encode()), dependent, True)
+        self.words = WordEncoder(self.whole, learn, f"{MARK}|^ | ( |$)|^$")
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.processor:
+            theirs = self.processor.encode(texts, num_threads=self.threads)
+            self.differing += sum(a != b for a, b in zip(ids, theirs, strict=True))
+        return ids
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a string array without nulls."""
+        return self.words.batch(texts)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        return self.cache.batch(texts)
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
 
-    def decode(self, ids: list[bytes]) -> list[str]:
-        return self.tokenizer.decode_batch([np.frombuffer(x, "<u4").tolist() for x in ids], skip_special_tokens=False)
+
+@functools.cache  # a worker keeps it from task to task
+def codec(path: str, threads: int, verify: bool) -> Codec:
+    return Codec(path, threads, verify)
 
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", verify: bool = True, threads: int = 2, keep_ids: bool = True) -> DataFrame:
-    """docs without the text, and n_tokens, ids_crc32, decodes (the ids give the text back), parity (with sentencepiece; null unverified) and ids."""
+    """docs without the text, and n_tokens, ids_crc32, decodes (the ids give the text back), parity and ids.
+
+    parity: the sentencepiece library gave the same ids wherever it was asked
+    while this batch of texts was encoded; null if it wasn't to be asked.
+    """
     at = docs.columns.index(text_col)
-    kept = [f for i, f in enumerate(docs.schema.fields) if i != at]
     made = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("decodes", T.BooleanType()), T.StructField("parity", T.BooleanType())]
     if keep_ids:
         made.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
-    if clash := {f.name for f in kept} & {f.name for f in made}:
-        kept = [f for f in kept if f.name not in clash]
+    kept = [f for i, f in enumerate(docs.schema.fields) if i != at and f.name not in {m.name for m in made}]
     schema = T.StructType([*kept, *made])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model_path, threads)
-        processor = None
-        if verify:
-            import sentencepiece
-
-            processor = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        for batch in slices(batches):
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            ids = codec.encode(texts)
-            decoded = codec.decode(ids)
+        coder = codec(model_path, threads, verify)
+        for batch in (part for whole in batches for part in byte_slices(whole, at)):
+            texts = batch.column(at).fill_null("")
+            before = coder.differing
+            ids = coder.encode(texts)
+            same = coder.differing == before if verify else None
+            decoded = pa.array(coder.decode(ids), pa.string())
             columns = [batch.column(f.name) for f in kept]
-            columns += [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(zlib.crc32, ids), pa.int64()), pa.array([a == b for a, b in zip(texts, decoded, strict=True)], pa.bool_())]
-            theirs = processor.encode(texts, num_threads=threads) if processor else None
-            columns.append(pa.array([np.asarray(x, dtype="<u4").tobytes() == y for x, y in zip(theirs, ids, strict=True)] if processor else [None] * len(ids), pa.bool_()))
+            columns += [pa.array(list(map(len, ids)), pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pc.equal(texts, decoded), pa.array([same] * len(ids), pa.bool_())]
             if keep_ids:
-                columns.append(pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())))
+                columns.append(pa.array([x.view("<i4") for x in ids], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.mapInArrow(kernel, schema)

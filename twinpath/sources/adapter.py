@@ -140,9 +140,10 @@ def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(*PAIR, "runA_frame", F.explode(each).alias("m")).select("m.method", *PAIR, "runA_frame", "m.predicted")
 
 
-SQL["descriptors"] = "SELECT label AS place, CASE WHEN vec_id % 2 = 1 THEN 'runB' ELSE 'runA' END AS run, vec_id // 2 AS ordinal, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
+VECTORS = 200
+SQL["descriptors"] = f"SELECT vec_id // {VECTORS} AS recording, CASE WHEN vec_id % 2 = 1 THEN 'runB' ELSE 'runA' END AS run, vec_id % {VECTORS} // 2 AS ordinal, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
 
 
 def descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(place, run, ordinal, v): vectors in two runs, blocked by place."""
-    return table(spark, sf_dir, "embeddings").selectExpr("label AS place", "CASE WHEN vec_id % 2 = 1 THEN 'runB' ELSE 'runA' END AS run", "vec_id div 2 AS ordinal", "CAST(embedding AS array<double>) AS v")
+    """(recording, run, ordinal, v): vectors in two runs; two hundred make a recording, so a block of pairs is bounded."""
+    return table(spark, sf_dir, "embeddings").selectExpr(f"vec_id div {VECTORS} AS recording", "CASE WHEN vec_id % 2 = 1 THEN 'runB' ELSE 'runA' END AS run", f"vec_id % {VECTORS} div 2 AS ordinal", "CAST(embedding AS array<double>) AS v")

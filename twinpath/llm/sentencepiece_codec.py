@@ -165,7 +165,7 @@ class Codec:
         return self.words.batch(texts)
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+        return [text for i in range(0, len(ids), 64) for text in self.tokenizer.decode_batch([x.tolist() for x in ids[i : i + 64]], skip_special_tokens=False)]
 
 
 @functools.cache  # a worker keeps it from task to task

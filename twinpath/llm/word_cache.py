@@ -19,10 +19,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Words, or parts of words, that a worker remembers, and the longest that it does.
-MOST_KNOWN, LONGEST = 1_000_000, 64
+#: Words, and parts of words, that a worker remembers, and the longest that it does.
+MOST_WORDS, MOST_PARTS, LONGEST = 300_000, 800_000, 64
 #: Bytes of text, and texts, that are encoded at a time.
-BATCH_BYTES, BATCH_ROWS = 6 << 20, 4096
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
 
 Whole = Callable[[list[str]], list[list[int]]]
 Learn = Callable[[list[str]], list[bytes]]
@@ -92,8 +92,8 @@ class WordEncoder:
         return out
 
 
-#: Words that make a text to learn from: long texts take BPE longer.
-TOGETHER = 256
+#: Words that make a text to learn from, for long texts take BPE longer; and texts that the library encodes at a time, for what it gives is large.
+TOGETHER, TEXTS = 256, 32
 
 
 class Parted:
@@ -103,6 +103,10 @@ class Parted:
         self.whole, self.lengths, self.space, self.lead = whole, np.array(lengths, dtype=np.int64), space, lead
 
     def __call__(self, words: list[str]) -> list[bytes]:
+        size = TOGETHER * TEXTS
+        return [ids for i in range(0, len(words), size) for ids in self.part(words[i : i + size])]
+
+    def part(self, words: list[str]) -> list[bytes]:
         texts = [self.lead + " ".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
         ids = np.frombuffer(b"".join(map(packed, self.whole(texts))), dtype="<u4")
         ends = np.cumsum(self.lengths[ids])
@@ -117,7 +121,7 @@ class Parted:
 class Remembered:
     """Learns words once, and again when they have not come for long: two generations, of which the older goes."""
 
-    def __init__(self, learn: Learn, most: int = MOST_KNOWN) -> None:
+    def __init__(self, learn: Learn, most: int = MOST_WORDS) -> None:
         self.learn, self.most, self.known, self.older = learn, most // 2, {}, {}
 
     def __call__(self, words: list[str]) -> list[bytes]:
@@ -176,7 +180,7 @@ class ByteParts:
         return found
 
     def __call__(self, words: list[str]) -> list[bytes]:
-        if len(self.parts) > MOST_KNOWN:
+        if len(self.parts) > MOST_PARTS:
             self.parts.clear()
         get, part, settled = self.parts.get, self.part, SETTLED.fullmatch
         made, odd = [], []

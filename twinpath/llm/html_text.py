@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from .common import slices, text_of
 
-TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/><]*+)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 HIDING_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
 SPACE = re.compile(r"[ \t\n\r\f]+")

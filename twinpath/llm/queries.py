@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, license_scan, merkle, pii, quality, sentencepiece_codec, simhash, token_planes
+from . import chat, decontaminate, html_text, license_scan, merkle, oracles, pii, quality, sentencepiece_codec, simhash, token_planes
 from .common import read
 
 #: Names of the public tokenizer files that the queries take; the folder is a parameter.
@@ -130,4 +130,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The same rows in DuckDB SQL. The others hold hashes, checksums, models or searches that SQL lacks; tests hold them against brute force."""
+    return {"op4_chat": oracles.OP4_CHAT, "op6_merkle": oracles.OP6_MERKLE, "op10_licenses": oracles.OP10_LICENSES}

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import kernels
+from ..operators import alignment, kernels
 from ..sources import adapter
-from ..sources.adapter import PAIR, STREAM
+from ..sources.adapter import PAIR, STREAM, with_sql
 from .catalog import query
 from .similarities import own
 
@@ -104,3 +104,38 @@ def phase_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reliability_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Static and sky pixels of the eight by eight images made of the vectors."""
     return kernels.masks(adapter.descriptors(spark, sf_dir), ["recording", "run"], "recording long, run string", "ordinal", "v", 8, 8, 0.12, 0.15, 2)
+
+
+@query()
+def align_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole alignment: path, estimate, refinement, uniqueness, decision, bridging."""
+    f = adapter.flags(spark, sf_dir)
+    return alignment.align(f, PAIR, PAIR_SCHEMA, "luma", (F.col("flag") == "too_dark") & (F.col("ordinal") % 3 == 0), (F.col("ordinal") * 31) % 100 < 85)
+
+
+@query()
+def posterior_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posterior with loop closure, and its decision."""
+    return alignment.closed_posterior(adapter.frames(spark, sf_dir), PAIR, PAIR_SCHEMA, "luma")
+
+
+@query(
+    with_sql("mapping")
+    + """SELECT recording, camera, runA_frame, CASE WHEN runB_frame IS NOT NULL THEN max(moved) OVER (PARTITION BY recording, camera ORDER BY runA_frame) END AS corrected FROM
+(SELECT *, runB_frame + CASE WHEN runA_frame % 7 >= 2 THEN CAST(greatest(least(round_even(9.0 / (runA_frame % 7), 0), 10.0), -10.0) AS BIGINT) ELSE 0 END AS moved FROM mapping)"""
+)
+def corrected_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partners moved by a measured offset over the sweep rate, monotone again."""
+    m = adapter.mapping(spark, sf_dir)
+    made = alignment.corrected(m, PAIR, F.lit(9.0), (F.col("runA_frame") % 7).cast("double"))
+    return made.select(*PAIR, "runA_frame", F.when(F.col("runB_frame").isNotNull(), F.col("corrected")).alias("corrected"))
+
+
+@query(
+    with_sql("labels_v")
+    + """SELECT query_id, CAST(floor(low + least(shift, 0.0)) AS BIGINT) AS wide_low, CAST(ceil(high + greatest(shift, 0.0)) AS BIGINT) AS wide_high FROM (SELECT *, CAST(greatest(least((runA_frame % 30 - 15) / 2.0, 10.0), -10.0) AS DOUBLE) AS shift FROM labels_v)"""
+)
+def widened_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label intervals under either of two criteria."""
+    rows = adapter.labels(spark, sf_dir)
+    return alignment.widened(rows, (F.col("runA_frame") % 30 - 15) / 2.0).select("query_id", "wide_low", "wide_high")

@@ -234,13 +234,15 @@ def vlad(tokens: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def farthest_first(values: np.ndarray) -> list[int]:
-    """The values, each farthest from those before it; the first is the smallest, and of equals the smaller comes first."""
-    rest = sorted(set(int(v) for v in values))
+    """The distinct values, each farthest from those before it; the first is the smallest, and of equals the smaller comes first."""
+    rest = np.unique(np.asarray(values, dtype=np.int64))
+    distance = np.full(len(rest), np.inf)
     order: list[int] = []
-    while rest:
-        best = max(rest, key=lambda v: (min(abs(v - o) for o in order), -v)) if order else rest[0]
-        order.append(best)
-        rest.remove(best)
+    for _ in range(len(rest)):
+        best = int(np.argmax(distance))
+        order.append(int(rest[best]))
+        distance = np.where(distance >= 0, np.minimum(distance, np.abs(rest - rest[best])), distance)
+        distance[best] = -1
     return order
 
 

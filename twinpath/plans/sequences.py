@@ -308,14 +308,13 @@ def densify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_sql("decisions")
-    + f"""SELECT d.{P.replace(", ", ", d.")}, d.runA_frame, arg_min(n.runA_frame, abs(n.runA_frame - d.runA_frame) * 1000000 + n.runA_frame) AS node FROM decisions d JOIN decisions n ON d.recording = n.recording AND d.camera = n.camera AND n.runA_frame % 50 = 0 AND abs(n.runA_frame - d.runA_frame) <= 50
-WHERE d.runA_frame % 7 = 3 GROUP BY ALL"""
+    + f"""SELECT d.{P.replace(", ", ", d.")}, d.runA_frame, arg_min(n.runA_frame, abs(n.runA_frame - d.runA_frame) * 1000000 + n.runA_frame) AS node FROM decisions d JOIN decisions n ON d.recording = n.recording AND d.camera = n.camera AND n.runA_frame % 50 = 0 AND abs(n.runA_frame - d.runA_frame) <= 50 GROUP BY ALL"""
 )
 def nearest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest of the coarse nodes, the earlier of two as near."""
     rows = adapter.decisions(spark, sf_dir)
     nodes = rows.filter("runA_frame % 50 = 0").select(*PAIR, F.col("runA_frame").alias("node"))
-    return agreement.nearest(rows.filter("runA_frame % 7 = 3").select(*PAIR, "runA_frame"), nodes, PAIR, "runA_frame", "node", 50)
+    return agreement.nearest(rows.select(*PAIR, "runA_frame"), nodes, PAIR, "runA_frame", "node", 50)
 
 
 @query(

@@ -160,14 +160,14 @@ def likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     with_sql("decisions", "frames")
     + f"""SELECT {P}, runA_frame, b, round(exp(0.8 * greatest(least(z, 3.0), -3.0)), 4) AS multiplier FROM (SELECT *, (s - avg(s) OVER w) / nullif(stddev_pop(s) OVER w, 0) AS z, count(*) OVER w AS n FROM
-(SELECT d.{P.replace(", ", ", d.")}, d.runA_frame, f.ordinal AS b, -abs(f.luma - a.luma) AS s FROM decisions d JOIN frames a ON a.recording = d.recording AND a.camera = d.camera AND a.run = 'runA' AND a.ordinal = d.runA_frame JOIN frames f ON f.recording = d.recording AND f.camera = d.camera AND f.run = 'runB' AND f.ordinal BETWEEN d.candidate - 8 AND d.candidate + 8 WHERE d.runA_frame % 10 = 5) WINDOW w AS (PARTITION BY {P}, runA_frame)) WHERE n >= 3 AND z IS NOT NULL"""
+(SELECT d.{P.replace(", ", ", d.")}, d.runA_frame, f.ordinal AS b, -abs(f.luma - a.luma) AS s FROM decisions d JOIN frames a ON a.recording = d.recording AND a.camera = d.camera AND a.run = 'runA' AND a.ordinal = d.runA_frame JOIN frames f ON f.recording = d.recording AND f.camera = d.camera AND f.run = 'runB' AND f.ordinal BETWEEN d.candidate - 8 AND d.candidate + 8) WINDOW w AS (PARTITION BY {P}, runA_frame)) WHERE n >= 3 AND z IS NOT NULL"""
 )
 def structure_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standardised scores of the candidates in a band, as multipliers; the band is exploded and joined on equal keys."""
     f = adapter.frames(spark, sf_dir)
     a = f.filter("run = 'runA'").select(*PAIR, F.col("ordinal").alias("runA_frame"), F.col("luma").alias("_a"))
     b = f.filter("run = 'runB'").select(*PAIR, F.col("ordinal").alias("b"), F.col("luma").alias("_b"))
-    band = adapter.decisions(spark, sf_dir).filter("runA_frame % 10 = 5").select(*PAIR, "runA_frame", F.explode(F.sequence(F.col("candidate") - 8, F.col("candidate") + 8)).alias("b"))
+    band = adapter.decisions(spark, sf_dir).select(*PAIR, "runA_frame", F.explode(F.sequence(F.col("candidate") - 8, F.col("candidate") + 8)).alias("b"))
     scored = band.join(a, [*PAIR, "runA_frame"]).join(b, [*PAIR, "b"]).withColumn("s", -F.abs(F.col("_b") - F.col("_a")))
     w = Window.partitionBy(*PAIR, "runA_frame")
     z = scored.withColumn("z", F.try_divide(F.col("s") - F.avg("s").over(w), F.stddev_pop("s").over(w))).withColumn("n", F.count(F.lit(1)).over(w)).filter("n >= 3 AND z IS NOT NULL")

@@ -113,12 +113,12 @@ SQL["labels_v"] = """SELECT recording, camera, runA_frame, concat(recording, '-'
   CASE (runA_frame // 10) % 9 WHEN 7 THEN 'no_correspondence' WHEN 8 THEN 'undetermined' ELSE 'match' END AS label,
   CASE (runA_frame // 10) % 4 WHEN 0 THEN 'occlusion' WHEN 1 THEN 'dark' WHEN 2 THEN 'kink' ELSE 'corridor' END AS stratum,
   candidate + (runA_frame * 13) % 7 - 3 AS low, candidate + (runA_frame * 13) % 7 - 3 + runA_frame % 3 AS high,
-  candidate + (runA_frame * 13) % 7 - 3 + (runA_frame % 3) // 2 AS preferred FROM decisions WHERE runA_frame % 10 = 5 AND NOT idle"""
+  candidate + (runA_frame * 13) % 7 - 3 + (runA_frame % 3) // 2 AS preferred FROM decisions WHERE NOT idle"""
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(recording, camera, runA_frame, query_id, label, stratum, low, high, preferred): closed intervals of right answers."""
-    return decisions(spark, sf_dir).filter("runA_frame % 10 = 5 AND NOT idle").selectExpr(
+    return decisions(spark, sf_dir).filter("NOT idle").selectExpr(
         *PAIR, "runA_frame", "concat(recording, '-', camera, '-', runA_frame) AS query_id",
         "CASE (runA_frame div 10) % 9 WHEN 7 THEN 'no_correspondence' WHEN 8 THEN 'undetermined' ELSE 'match' END AS label",
         "CASE (runA_frame div 10) % 4 WHEN 0 THEN 'occlusion' WHEN 1 THEN 'dark' WHEN 2 THEN 'kink' ELSE 'corridor' END AS stratum",
@@ -129,7 +129,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["methods"] = """SELECT 'shipped' AS method, recording, camera, runA_frame, runB_frame AS predicted FROM mapping
   UNION ALL SELECT 'ungated', recording, camera, runA_frame, candidate FROM mapping
-  UNION ALL SELECT 'prior', recording, camera, runA_frame, CAST(round_even(runA_frame * (n_b - 1) / CAST(n_a - 1 AS DOUBLE), 0) AS BIGINT) FROM mapping"""
+  UNION ALL SELECT 'prior', recording, camera, runA_frame, CAST(round_even(CAST(runA_frame AS DOUBLE) / (n_a - 1) * (n_b - 1), 0) AS BIGINT) FROM mapping"""
 
 
 def methods(spark: SparkSession, sf_dir: str) -> DataFrame:

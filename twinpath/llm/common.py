@@ -50,6 +50,19 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
+#: Bytes of a batch between the JVM and Python: a batch is held on both sides at once.
+BATCH_BYTES = 16 << 20
+
+
+def bounded(docs: DataFrame) -> DataFrame:
+    """docs as they are; from now on the session cuts their batches for Python by bytes, where it would allow larger ones."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = conf.get(key).removesuffix("b")
+    if not size.isdigit() or int(size) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return docs
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

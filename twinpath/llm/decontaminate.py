@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_of
+from .common import bounded, slices, text_of
 
 ERROR_RATE = 0.08
 LEAST_PIECE = 8
@@ -161,7 +161,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                     types = [batch.schema.field(0).type, None, pa.int32(), pa.int32(), pa.int32(), pa.int32()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=schema.names)
 
-        return narrow.mapInArrow(kernel, schema)
+        return bounded(narrow).mapInArrow(kernel, schema)
 
     parts = [scan(block) for block in blocks(benchmark, item_col, item_text_col, block_chars)]
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
@@ -177,7 +177,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
             for batch in slices(batches):
                 yield batch.filter(pa.array([not t or not finder.matches(normalised(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        return rows.mapInArrow(kernel, rows.schema)
+        return bounded(rows).mapInArrow(kernel, rows.schema)
 
     for block in blocks(benchmark, item_col, item_text_col, block_chars):
         docs = without(docs, block)

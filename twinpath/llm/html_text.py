@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_of
+from .common import bounded, slices, text_of
 
 TAG = re.compile(r"<(/?)([A-Za-z][^\s/><]*+)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
@@ -375,4 +375,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
 
     narrow = pages.select(F.col(id_col), text_of(html_col).alias("html"))
     fields = [narrow.schema[id_col], T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_tables", T.LongType())]
-    return narrow.mapInArrow(kernel, T.StructType(fields))
+    return bounded(narrow).mapInArrow(kernel, T.StructType(fields))

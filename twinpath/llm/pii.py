@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_of
+from .common import bounded, slices, text_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "card_short", "ssn", "secret")
@@ -150,7 +150,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, ARROW_SPANS)], names=[id_col, "spans"])
 
     narrow = docs.select(F.col(id_col), text_of(text_col).alias("text"))
-    return narrow.mapInArrow(kernel, T.StructType([narrow.schema[id_col], T.StructField("spans", SPAN_TYPE)]))
+    return bounded(narrow).mapInArrow(kernel, T.StructType([narrow.schema[id_col], T.StructField("spans", SPAN_TYPE)]))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -162,7 +162,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             texts = [None if t is None else redacted(t, found) if (found := spans(t)) else t for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 :]], names=batch.schema.names)
 
-    return docs.mapInArrow(kernel, docs.schema)
+    return bounded(docs).mapInArrow(kernel, docs.schema)
 
 
 def listed(found: Column) -> Column:

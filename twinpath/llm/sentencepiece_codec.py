@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import bounded
 from .word_cache import Parted, Remembered, WordEncoder, byte_slices
 
 MARK = "▁"
@@ -200,4 +201,4 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", verify: boo
                 columns.append(pa.array([x.view("<i4") for x in ids], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.mapInArrow(kernel, schema)
+    return bounded(docs).mapInArrow(kernel, schema)

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, slices, text_of
+from .common import bounded, cut, slices, text_of
 
 SEED = 42
 BITS = 64
@@ -106,7 +106,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     narrow = docs.select(F.col(id_col), text_of(text_col).alias("text"))
     schema = T.StructType([narrow.schema[id_col], T.StructField("fingerprint", T.LongType())])
-    return narrow.mapInArrow(kernel, schema)
+    return bounded(narrow).mapInArrow(kernel, schema)
 
 
 class Ring:

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, shuffle_partitions, slices, text_of, with_order_bucket
+from .common import bounded, ensure_checkpoint_dir, shuffle_partitions, slices, text_of, with_order_bucket
 from .word_cache import WHITE, ByteParts, Parted, WordEncoder, byte_slices
 from .word_cache import packed as packed_ids
 
@@ -192,7 +192,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col:
         if shard is not None:
             yield from map(record, shard.rest())
 
-    ordered.mapInArrow(kernel, CHUNKS).write.option("compression", "uncompressed").parquet(path)
+    bounded(ordered).mapInArrow(kernel, CHUNKS).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -20,9 +20,9 @@ import pyarrow.compute as pc
 import regex
 
 #: Words, and parts of words, that a worker remembers, and the longest that it does.
-MOST_WORDS, MOST_PARTS, LONGEST = 300_000, 800_000, 64
+MOST_WORDS, MOST_PARTS, LONGEST = 200_000, 800_000, 64
 #: Bytes of text, and texts, that are encoded at a time.
-BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
+BATCH_BYTES, BATCH_ROWS = 3 << 20, 4096
 
 Whole = Callable[[list[str]], list[list[int]]]
 Learn = Callable[[list[str]], list[bytes]]

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions import dynamic, images
 
-Group = Callable[[pd.DataFrame], pd.DataFrame]
-
 
 def per_group(df: DataFrame, keys: list[str], schema: str, kernel: Callable[[pd.DataFrame], dict]) -> DataFrame:
     """Applies a kernel that gives columns; the keys are put before them. schema: the types of keys and columns."""

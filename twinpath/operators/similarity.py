@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
@@ -62,7 +62,3 @@ def likelihood_table(joint: DataFrame, keys: list[str], a: str, b: str, exponent
     by = lambda *c: F.sum("n").over(Window.partitionBy(*keys, *c))
     chance = counted.withColumn("_ratio", F.col("n").cast("double") * by() / (by(a) * by(b)))
     return chance.select(*keys, a, b, "n", F.round(F.greatest(F.least(F.pow("_ratio", F.lit(exponent)), F.lit(high)), F.lit(low)), 6).alias("ratio"))
-
-
-def proximity_ratio(hit: Column, chance: Column) -> Column:
-    return F.try_divide(hit, F.greatest(chance, F.lit(1e-6)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import agreement, sequences as seq, similarity as sim
+from ..operators import agreement, similarity as sim
 from ..sources import adapter
 from ..sources.adapter import PAIR, STREAM, with_sql
 from .catalog import query

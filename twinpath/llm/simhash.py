@@ -156,8 +156,8 @@ def links(classes: DataFrame, max_bits: int, segments: int = 7, bucket_limit: in
     sizes = rows.groupBy("start", "key").agg(F.count(F.lit(1)).alias("members"))
     shared = rows.join(sizes.filter("members > 1"), ["start", "key"])
 
-    bounded = shared.filter(F.col("members") <= bucket_limit).groupBy("start", "key").agg(F.array_sort(F.collect_list("fingerprint")).alias("all"))
-    first = bounded.select("start", "all", F.posexplode("all").alias("place", "a"))
+    small = shared.filter(F.col("members") <= bucket_limit).groupBy("start", "key").agg(F.array_sort(F.collect_list("fingerprint")).alias("all"))
+    first = small.select("start", "all", F.posexplode("all").alias("place", "a"))
     pairs = first.select("start", "a", F.explode(F.slice("all", F.col("place") + 2, bucket_limit)).alias("b"))
     close = pairs.filter(_within_chains(ring, F.col("start"), F.col("a").bitwiseXOR(F.col("b")))).select("a", "b")
 

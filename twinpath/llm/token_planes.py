@@ -42,6 +42,8 @@ from .word_cache import packed as packed_ids
 MAGIC = b"TPL1"
 BLOCK_IDS = 1 << 16
 LEVEL = 3
+#: Bytes of text that are encoded at a time: the more, the fewer distinct words for each.
+BATCH_BYTES = 6 << 20
 
 
 def planes(ids: np.ndarray, bits: int) -> list[bytes]:
@@ -181,7 +183,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col:
         def record(row: tuple) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, ARROW_CHUNKS, strict=True)], schema=ARROW_CHUNKS)
 
-        for batch in (part for whole in batches for part in byte_slices(whole, 1)):
+        for batch in (part for whole in batches for part in byte_slices(whole, 1, BATCH_BYTES)):
             numbers, ids = batch.column(2).to_pylist(), batch.column(0).to_pylist()
             for number, doc_id, found in zip(numbers, ids, coder.batch(batch.column(1)), strict=True):
                 if shard is None or shard.number != number:

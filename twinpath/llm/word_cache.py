@@ -34,12 +34,12 @@ def packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
-def byte_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+def byte_slices(batch: pa.RecordBatch, column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of bounded bytes in a text column; a text larger than that is a slice of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start = total = 0
     for i, size in enumerate(sizes):
-        if i > start and (total + size > BATCH_BYTES or i - start >= BATCH_ROWS):
+        if i > start and (total + size > most or i - start >= BATCH_ROWS):
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += size

@@ -3,7 +3,12 @@
 The stages, in order: drop what the quality classifier rejects, keep one
 document of each SimHash group, drop documents that hold benchmark items, redact
 personal data, and encode with a SentencePiece model. All but the last return
-the columns of their input; rows with null ids stay, for no group can name them.
+the columns of their input.
+
+Defined cases: null texts count as empty ones and stay null; of rows that agree
+in id and text, near-dedup keeps one; rows with null ids stay there, for no group
+can name them; a stage over an empty table returns an empty one; further columns
+pass through, whatever their names.
 """
 
 from __future__ import annotations

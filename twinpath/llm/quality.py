@@ -14,9 +14,10 @@ language, source or id are among the statistics.
 Defined cases: a null text is the empty text, whose statistics are 0, and has a
 score like any other; rows without a label, or with a null one, don't train;
 without labels of both kinds every score is the share of label 1, or 1 if there
-is no label at all; repeated rows are scored as often as they come; an empty
-table gives an empty result; further columns, `score` and `predicted` apart,
-pass through.
+is no label at all; repeated rows are scored as often as they come, and repeated
+labels count once; an empty table gives an empty result; further columns pass
+through, but for `score`, `predicted` and those beginning with `_` that are used
+on the way (`_text`, `_counts`, `_features`). The id is the documents' key.
 """
 
 from __future__ import annotations
@@ -207,7 +208,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bound: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of about `bound` labelled rows at most, in a fixed order."""
-    usable = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).dropna().filter(~held_out("_id"))
+    usable = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).dropna().filter(~held_out("_id")).distinct()  # a repeated label is one row
     total = usable.count()
     if not total:
         return np.zeros((0, len(NAMES))), np.zeros(0)

@@ -51,7 +51,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
 
 
 #: Bytes of a batch between the JVM and Python: a batch is held on both sides at once.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def bounded(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import bounded
-from .word_cache import Parted, Remembered, WordEncoder, byte_slices
+from .word_cache import Parted, Remembered, WordEncoder, byte_slices, released
 
 MARK = "▁"
 #: Kinds of pieces, kinds of models and field numbers of the public protobuf.
@@ -161,6 +161,12 @@ class Codec:
             self.differing += sum(a != b for a, b in zip(ids, theirs, strict=True))
         return ids
 
+    def forget(self) -> None:
+        """Lets go of the words learned; the model stays."""
+        if isinstance(self.words.learn, Remembered):
+            self.words.learn.forget()
+        released()
+
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text of a string array without nulls."""
         return self.words.batch(texts)
@@ -200,5 +206,6 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", verify: boo
             if keep_ids:
                 columns.append(pa.array([x.view("<i4") for x in ids], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        coder.forget()  # the worker's next task may be another operator's
 
     return bounded(docs).mapInArrow(kernel, schema)

@@ -10,6 +10,8 @@ texts in which words are not certain to be independent go to the library whole.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 from array import array
 from collections.abc import Callable, Iterator
@@ -47,6 +49,13 @@ def byte_slices(batch: pa.RecordBatch, column: int, most: int = BATCH_BYTES) ->
         yield batch.slice(start)
 
 
+def released() -> None:
+    """Gives memory that is free back to the system: a worker lives on while others' tasks need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordEncoder:
     """Ids of texts.
 
@@ -124,6 +133,9 @@ class Remembered:
     def __init__(self, learn: Learn, most: int = MOST_WORDS) -> None:
         self.learn, self.most, self.known, self.older = learn, most // 2, {}, {}
 
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+
     def __call__(self, words: list[str]) -> list[bytes]:
         if len(self.known) > self.most:
             self.known, self.older = {}, self.known

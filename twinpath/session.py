@@ -26,11 +26,13 @@ def local(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors, unless they find it by PYTHONPATH or working folder as the driver does."""
+    """Sends the package to the executors, unless their PYTHONPATH leads to it.
+
+    The driver's own working folder and sys.path say nothing about theirs.
+    """
     root = PACKAGE.parent
-    found = [Path.cwd(), *map(Path, os.environ.get("PYTHONPATH", "").split(os.pathsep))]
     sc = spark.sparkContext
-    if any(p.resolve() == root.resolve() for p in found) or getattr(sc, "_twinpath_shipped", False):
+    if root in map(Path, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))) or getattr(sc, "_twinpath_shipped", False):
         return
     folder = tempfile.mkdtemp(prefix="twinpath-")
     sc.addPyFile(shutil.make_archive(f"{folder}/twinpath", "zip", root, PACKAGE.name))

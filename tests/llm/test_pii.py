@@ -76,3 +76,18 @@ def test_query_against_brute_force(spark, tables):
         r = rows[d["doc_id"]]
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
         assert [r[f"n_{k}"] for k in pii.BASE_KINDS] == [sum(b[0] == k for b in base) for k in pii.BASE_KINDS]
+
+
+@pytest.mark.parametrize(
+    ("text", "iban"),
+    [
+        ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "DE89 3704 0044 0532 0130 00"),
+        ("IBAN DE89370400440532013000 Please pay", "DE89370400440532013000"),
+        ("DE89370400440532013000 5 days", "DE89370400440532013000"),
+        ("NO93 8601 1117 947 DE89370400440532013001", "NO93 8601 1117 947"),
+        ("DE89370400440532013000X", None),
+    ],
+)
+def test_ibans_end_at_their_countrys_length(text, iban):
+    assert [text[a:b] for kind, a, b, _ in pii.spans(text) if kind == "iban"] == ([iban] if iban else [])
+    assert iban is None or pii.redacted(text, pii.spans(text)).count("[IBAN]") == 1

@@ -40,7 +40,19 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}")
+#: Characters of an IBAN by its country.
+IBAN_LENGTHS = {
+    code: length
+    for length, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for code in codes.split()
+}
+#: What follows the first four characters, by the length; of a country without one, the longest run.
+IBAN_RESTS = {n: re.compile(rf"(?: ?[A-Z0-9]){{{n - 4}}}+(?![A-Za-z0-9])") for n in set(IBAN_LENGTHS.values())} | {0: re.compile(r"(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])")}
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 SECRET = re.compile(r"\b(?:token|secret|password|passwd|api[_ -]?key|access[_ -]?key)\b[\"']?\s{0,4}[=:]\s{0,4}[\"']?([A-Za-z0-9+/_=-]{16,})", re.IGNORECASE)
 
@@ -74,6 +86,15 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Each start is tried once, at its country's length."""
+    done = 0
+    for m in IBAN.finditer(text):
+        if m.start() >= done and (rest := IBAN_RESTS[IBAN_LENGTHS.get(m[1], 0)].match(text, m.end())) and mod97(text[m.start() : rest.end()]):
+            done = rest.end()
+            yield m.start(), done
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     done = 0
     at = text.find("@")
@@ -103,7 +124,7 @@ def proposed(text: str) -> Iterator[tuple[str, int, int, bool]]:
         yield from (("card", a, b, True) for a, b, d in digits if 16 <= len(d) <= 19 and luhn(d))
         if "+" in text:
             yield from (("phone", m.start(), m.end(), True) for m in PHONE.finditer(text) if 8 <= sum(c.isdigit() and c.isascii() for c in m[0]) <= 15)
-        yield from (("iban", m.start(), m.end(), True) for m in IBAN.finditer(text) if mod97(m[0]))
+        yield from (("iban", a, b, True) for a, b in ibans(text))
         yield from (("card_short", a, b, True) for a, b, d in digits if 13 <= len(d) <= 15 and luhn(d))
         yield from (("ssn", m.start(), m.end(), False) for m in SSN.finditer(text))
     if "=" in text or ":" in text:

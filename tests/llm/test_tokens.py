@@ -116,3 +116,18 @@ def test_sentencepiece_rows(spark, tables):
     rows = encode(docs, queries.tokenizer_path(queries.PIECE_MODEL)).collect()
     assert sorted((r["doc_id"], r["n_tokens"] > 0, r["parity"], r["decodes"]) for r in rows) == [(1, False, True, True), (2, False, True, True), (3, True, True, True), (3, True, True, True)]
     assert all(r["parity"] and r["decodes"] for r in queries.op5_sentencepiece(spark, tables).collect())
+
+
+def test_a_differing_word_marks_its_own_texts_in_every_batch():
+    codec = Codec(queries.tokenizer_path(queries.PIECE_MODEL), 1, True)
+    real = codec.processor
+
+    class Planted:
+        def encode(self, texts, num_threads):
+            return [[i + 1 for i in ids] if "planted" in t.split(" ") else ids for t, ids in zip(texts, real.encode(texts), strict=True)]
+
+    codec.processor = Planted()
+    batches = [["good planted", "good other", " planted"], ["planted again", "good again", "it"], ["good other"]]
+    found = [codec.verified(pa.array(b)) for b in batches]
+    assert [same for _, same in found] == [[False, True, False], [False, True, True], [True]]
+    assert [[x.tolist() for x in ids] for ids, _ in found] == [real.encode(b) for b in batches]

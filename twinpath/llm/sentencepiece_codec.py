@@ -3,7 +3,8 @@
 The model's protobuf is parsed here; normaliser, metaspace marker, scores or
 merges, and byte fallback are rebuilt in the tokenizers library, for unigram and
 for BPE models. Batches are encoded and decoded on the library's own threads.
-Parity with the sentencepiece library is verified for each text, or not at all.
+Parity with the sentencepiece library is verified for each text, by its words
+where they are independent, or not at all.
 
 Defined cases: a null text is the empty text, which has no ids; repeated rows
 are encoded as often as they come; null ids pass through; an empty table gives
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import bounded
-from .word_cache import Parted, Remembered, WordEncoder, byte_slices, released
+from .word_cache import TEXTS, TOGETHER, Parted, Remembered, WordEncoder, byte_slices, packed, released
 
 MARK = "▁"
 #: Kinds of pieces, kinds of models and field numbers of the public protobuf.
@@ -36,6 +37,9 @@ PIECES, TRAINER, NORMALIZER = 1, 2, 3
 MODEL_TYPE, WHITESPACE_AS_SUFFIX, BYTE_FALLBACK = 3, 24, 35
 CHARSMAP, DUMMY_PREFIX, REMOVE_EXTRA, ESCAPE = 2, 3, 4, 5
 
+#: No model's id: behind the ids of a word or text for which the two libraries differ.
+DIFFERS = 0xFFFFFFFF
+
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
     """(field number, value) of a protobuf message; values stay undecoded."""
@@ -134,9 +138,10 @@ class Codec:
     """Encodes and decodes batches as the model's own library does.
 
     With `verify`, whatever goes to the tokenizers library, whole texts or new
-    words, goes to the sentencepiece library too, and the ids are compared; a
-    text's words being independent, that verifies every text. `differing` counts
-    the comparisons that failed.
+    words, goes to the sentencepiece library too, and the ids are compared. The
+    verdict stays with the word: ids that differ end in `DIFFERS`, and a text is
+    verified if none of its words does, whenever they were learned. `differing`
+    counts the texts and words found to differ.
     """
 
     def __init__(self, path: str, threads: int = 2, verify: bool = False) -> None:
@@ -150,17 +155,47 @@ class Codec:
             self.processor = sentencepiece.SentencePieceProcessor(model_file=path)
         learn = None
         if model.words_independent():
-            learn = Remembered(Parted(self.whole, [1 if kind == BYTE else len(p.encode()) for p, _, kind in model.pieces], len(MARK.encode()), ""))
+            self.parted = Parted(self.ours, [1 if kind == BYTE else len(p.encode()) for p, _, kind in model.pieces], len(MARK.encode()), "")
+            learn = Remembered(self.learned)
         # a mark in the text itself, and a space at an end or beside another, may go with either side; the empty text gets no mark
         self.words = WordEncoder(self.whole, learn, f"{MARK}|^ | ( |$)|^$")
 
+    def ours(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def theirs(self, texts: list[str]) -> list[list[int]]:
+        return self.processor.encode(texts, num_threads=self.threads)
+
     def whole(self, texts: list[str]) -> list[list[int]]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = self.ours(texts)
         if self.processor:
-            theirs = self.processor.encode(texts, num_threads=self.threads)
-            self.differing += sum(a != b for a, b in zip(ids, theirs, strict=True))
+            for mine, other in zip(ids, self.theirs(texts), strict=True):
+                if mine != other:
+                    mine.append(DIFFERS)
+                    self.differing += 1
         return ids
 
+    def learned(self, words: list[str]) -> list[bytes]:
+        """Packed ids of each word, with its verdict."""
+        size = TOGETHER * TEXTS
+        return [ids for i in range(0, len(words), size) for ids in self.verdicts(words[i : i + size])]
+
+    def verdicts(self, words: list[str]) -> list[bytes]:
+        found = self.parted(words)
+        if not self.processor:
+            return found
+        lots = range(0, len(words), TOGETHER)
+        for i, other in zip(lots, self.theirs([" ".join(words[i : i + TOGETHER]) for i in lots]), strict=True):
+            lot = range(i, min(i + TOGETHER, len(words)))
+            if b"".join(found[i : i + TOGETHER]) == packed(other):
+                continue
+            alone = self.theirs([words[k] for k in lot])
+            # if no word differs by itself, any of them may
+            for k in [k for k, ids in zip(lot, alone, strict=True) if found[k] != packed(ids)] or lot:
+                found[k] += packed([DIFFERS])
+                self.differing += 1
+        return found
+
     def forget(self) -> None:
         """Lets go of the words learned; the model stays."""
         if isinstance(self.words.learn, Remembered):
@@ -169,7 +204,13 @@ class Codec:
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text of a string array without nulls."""
-        return self.words.batch(texts)
+        return self.verified(texts)[0]
+
+    def verified(self, texts: pa.Array) -> tuple[list[np.ndarray], list[bool]]:
+        """The ids of each text, and whether none of its words differs."""
+        ids = self.words.batch(texts)
+        same = [not (x == DIFFERS).any() for x in ids]
+        return [x if yes else x[x != DIFFERS] for x, yes in zip(ids, same, strict=True)], same
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return [text for i in range(0, len(ids), 64) for text in self.tokenizer.decode_batch([x.tolist() for x in ids[i : i + 64]], skip_special_tokens=False)]
@@ -183,8 +224,9 @@ def codec(path: str, threads: int, verify: bool) -> Codec:
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", verify: bool = True, threads: int = 2, keep_ids: bool = True) -> DataFrame:
     """docs without the text, and n_tokens, ids_crc32, decodes (the ids give the text back), parity and ids.
 
-    parity: the sentencepiece library gave the same ids wherever it was asked
-    while this batch of texts was encoded; null if it wasn't to be asked.
+    parity: the sentencepiece library gave the same ids for every word of the
+    text, or for the whole text where it was encoded whole; null if it wasn't to
+    be asked.
     """
     at = docs.columns.index(text_col)
     made = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("decodes", T.BooleanType()), T.StructField("parity", T.BooleanType())]
@@ -197,12 +239,10 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", verify: boo
         coder = codec(model_path, threads, verify)
         for batch in (part for whole in batches for part in byte_slices(whole, at)):
             texts = batch.column(at).fill_null("")
-            before = coder.differing
-            ids = coder.encode(texts)
-            same = coder.differing == before if verify else None
+            ids, same = coder.verified(texts)
             decoded = pa.array(coder.decode(ids), pa.string())
             columns = [batch.column(f.name) for f in kept]
-            columns += [pa.array(list(map(len, ids)), pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pc.equal(texts, decoded), pa.array([same] * len(ids), pa.bool_())]
+            columns += [pa.array(list(map(len, ids)), pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pc.equal(texts, decoded), pa.array(same if verify else [None] * len(ids), pa.bool_())]
             if keep_ids:
                 columns.append(pa.array([x.view("<i4") for x in ids], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from itertools import islice
 
 import pytest
 import xxhash
@@ -92,3 +93,9 @@ def test_query_against_brute_force(spark, tables):
     expected = components(prints, 2)
     rows = queries.op7_simhash(spark, tables).collect()
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in rows} == {i: (f"{v:016x}", expected[i]) for i, v in prints.items()}
+
+
+def test_a_word_of_several_pieces_behind_a_short_one(monkeypatch):
+    monkeypatch.setattr(simhash, "PIECE", 10)
+    text = b"a " + b"x" * 35 + b" b c"
+    assert list(islice(simhash.words_of(text), 10)) == text.split()

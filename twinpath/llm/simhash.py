@@ -56,7 +56,7 @@ def words_of(text: bytes) -> Iterator[bytes]:
         end = start + PIECE
         piece = text[start:end]
         cut_at = max(piece.rfind(b) for b in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-        if cut_at < 0:  # a word longer than a piece: take all the rest
+        if cut_at <= 0:  # a word longer than a piece, at its start or behind a blank: take all the rest
             break
         yield from piece[:cut_at].lower().split()
         start += cut_at

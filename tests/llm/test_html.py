@@ -37,6 +37,22 @@ def test_rendering(source, text):
     assert html_text.extracted(source)[1] == text
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<p>a <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>x=1</annotation></semantics></math> b", "a x=1 b"),
+        ("<svg><defs/><title>t</title><desc>d</desc><path d=''/><text x=1>one</text><text>two</text></svg>after", "one two after"),
+        ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+        ("size <select><option>a<option selected>b<option>c</select> now", "size b now"),
+        ("<select><option disabled>pick<optgroup><option>x</optgroup></select>", "x"),
+        ("<select multiple><option>a<option>b</select>", "a\nb"),
+        ("<desc>shown</desc> outside", "shown outside"),
+    ],
+)
+def test_formulas_drawings_dialogs_and_lists(source, text):
+    assert html_text.extracted(source)[1] == text
+
+
 def test_deep_nesting_and_long_sources_end():
     assert html_text.extracted("<div>" * 20_000 + "x")[1] == "x"
     assert html_text.extracted("<b" * 20_000)[1].startswith("<b<b")

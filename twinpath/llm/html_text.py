@@ -9,7 +9,8 @@ paragraphs, list items with markers and indents, preformatted text as it is, and
 table cells padded to aligned columns.
 
 Nothing visible is left out, be it navigation or a footer: what to keep of a
-page is a later decision. All loops are over the source or an explicit stack, so
+page is a later decision. The one exception is what is marked aria-hidden, which
+browsers show: it is left out. A drop-down list shows one option. All loops are over the source or an explicit stack, so
 deep nesting and unclosed tags cost time in proportion to the source.
 
 Defined cases: null and empty sources give an empty text; repeated rows are
@@ -39,7 +40,9 @@ SPACE = re.compile(r"[ \t\n\r\f]+")
 #: Sets of element names by their part in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist dialog select title meta link base".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist title meta link base".split())
+#: Inside svg and math these aren't rendered.
+UNDRAWN = {"svg": frozenset("defs desc metadata symbol clippath mask marker pattern".split()), "math": frozenset(("annotation", "annotation-xml"))}
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure menu dir".split())
 LISTS = frozenset("ul ol menu dir".split())
@@ -169,7 +172,12 @@ def tree(source: str) -> Node:
             if name in CELLS and stack[-1].name in ("table", "tbody", "thead", "tfoot"):
                 push("tr", {})
             attributes = attributes_of(rest) if rest.strip(" /") else {}
-            if name in VOID:
+            foreign = [f for f in UNDRAWN if open_names.get(f)]
+            if any(name in UNDRAWN[f] for f in foreign):
+                attributes["hidden"] = ""
+            if name == "text" and "svg" in foreign:
+                attributes["-apart"] = "1"
+            if name in VOID or (foreign and rest.endswith("/")):
                 stack[-1].children.append(Node(name, attributes))
             else:
                 push(name, attributes)
@@ -177,12 +185,41 @@ def tree(source: str) -> Node:
 
 
 def visible(node: Node) -> bool:
-    if node.name in HIDDEN:
-        return False
     a = node.attributes
+    if node.name in HIDDEN or (node.name == "dialog" and "open" not in a):
+        return False
     return not ("hidden" in a or a.get("aria-hidden", "").lower() == "true" or (node.name == "input" and a.get("type", "").lower() == "hidden") or (a.get("style") and HIDING_STYLE.search(a["style"])))
 
 
+def drop_down(select: Node) -> str | None:
+    """The text that a drop-down list shows: its last selected option, or the first that can be chosen; None for a list box."""
+    size = select.attributes.get("size", "").strip()
+    if "multiple" in select.attributes or (size.isdecimal() and int(size) > 1):
+        return None
+    first = chosen = None
+    todo = [(c, False) for c in reversed(select.children)]
+    while todo:
+        node, disabled = todo.pop()
+        if isinstance(node, Node):
+            disabled |= "disabled" in node.attributes
+            if node.name == "option":
+                chosen = node if "selected" in node.attributes else chosen
+                first = node if first is None and not disabled else first
+                disabled = False
+            todo.extend((c, disabled) for c in reversed(node.children))
+    shown = chosen or first
+    if shown is None or shown.attributes.get("label"):
+        return shown.attributes["label"] if shown else ""
+    parts, inner = [], list(reversed(shown.children))
+    while inner:
+        node = inner.pop()
+        if isinstance(node, str):
+            parts.append(node)
+        elif node.name not in ("option", "optgroup") and visible(node):
+            inner.extend(reversed(node.children))
+    return "".join(parts)
+
+
 def width(text: str) -> int:
     """Columns on a fixed grid: wide characters take two, combining ones none."""
     if text.isascii():
@@ -282,6 +319,11 @@ def render(top: Node) -> str:
                 continue
             if name in VOID:
                 continue
+            if name == "select" and (shown := drop_down(it)) is not None:
+                page.text(f" {shown} ")
+                continue
+            if it.attributes.get("-apart"):
+                page.text(" ")
             if name in BLOCKS:
                 end_line()
                 if name in SPACED and not (name in LISTS and lists):
@@ -314,6 +356,8 @@ def render(top: Node) -> str:
             todo.append(("leave", it))
             todo.extend(("enter", child) for child in reversed(it.children))
             continue
+        if it.attributes.get("-apart"):
+            page.text(" ")
         if name in BLOCKS:
             flush_pre(page) if pre and page.inline else end_line()
             if name in SPACED and not (name in LISTS and len(lists) > 1):

@@ -1,9 +1,9 @@
 """The corpus pipeline over `documents`: each stage is written as Parquet and reread by the next.
 
 The stages, in order: drop what the quality classifier rejects, keep one
-document of each SimHash group, drop documents that hold benchmark items, redact
-personal data, and encode with a SentencePiece model. All but the last return
-the columns of their input.
+document of each group of near copies (SimHash, and shingle Jaccard from 0.8),
+drop documents that hold benchmark items, redact personal data, and encode with
+a SentencePiece model. All but the last return the columns of their input.
 
 Defined cases: null texts count as empty ones and stay null; of rows that agree
 in id and text, near-dedup keeps one; rows with null ids stay there, for no group
@@ -18,14 +18,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinpath.llm import decontaminate, pii, quality, sentencepiece_codec, simhash
+from twinpath.llm import decontaminate, near_copies, pii, quality, sentencepiece_codec
 from twinpath.llm.common import read
 from twinpath.llm.queries import PIECE_MODEL, tokenizer_path
 from twinpath.llm.token_planes import new_path
 
-#: Shingles of five words; 62 of 64 equal bits are a similarity of 0.97. A third bit would shorten the join keys
-#: from 27 bits to 19, and their buckets would then grow with the corpus.
-SHINGLE_WORDS, MAX_BITS = 5, 2
+#: Shingles of five words. Fingerprints link at 62 of 64 equal bits; texts of a shingle Jaccard of 0.8 mostly differ
+#: in more and are found by MinHash keys and verified.
+SHINGLE_WORDS, MAX_BITS, LEAST_JACCARD = 5, 2, 0.8
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest id; of repeated rows, one."""
-    found = simhash.groups(docs, shingle_words=SHINGLE_WORDS, max_bits=MAX_BITS)
+    found = near_copies.groups(docs, shingle_words=SHINGLE_WORDS, max_bits=MAX_BITS, least=LEAST_JACCARD)
     kept = found.filter("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.filter("doc_id is null"))

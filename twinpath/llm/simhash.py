@@ -204,11 +204,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     """(id, fingerprint, component_id) of each row; component_id is the smallest id of its group."""
     prints = cut(fingerprints(docs, id_col, text_col, shingle_words))
     classes = prints.groupBy("fingerprint").agg(F.min(id_col).alias("least_id"))
-    roots = components(links(classes, max_bits, segments or 3 * max_bits + 1, bucket_limit))
+    return named(prints, classes, links(classes, max_bits, segments or 3 * max_bits + 1, bucket_limit), id_col)
+
+
+def named(prints: DataFrame, classes: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
+    """prints and the component_id that the edges between their fingerprints give."""
+    roots = components(edges)
     joined = classes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     least = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = joined.join(least, "root").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select(id_col, "fingerprint", "component_id")
+    labels = joined.join(least, "root").select("fingerprint", "component_id")
+    return prints.join(labels, "fingerprint").select(id_col, "fingerprint", "component_id")
 
 
 def hexadecimal(column: str) -> Column:

@@ -16,7 +16,7 @@ tokenizers = pytest.importorskip("tokenizers")
 sentencepiece = pytest.importorskip("sentencepiece")
 pytest.importorskip("public_tokenizers")
 
-ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a\n b", "a b c", "▁x y", "<s> </s> <unk> x", "日本語 テスト 🎉", "\t\tx  y\n\n z", "it's we'll", "x" * 300, "a" * 70 + " b", "<|endoftext|> x"]
+ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a\n b", "a b c", "▁x y", "<s> </s> <unk> x", "日本語 テスト 🎉", "\t\tx  y\n\n z", "it's we'll", "x" * 300, "a" * 70 + " b", "<|endoftext|> x", "hello <|endoftext|> world", "a<|endoftext|><|endoftext|>b c", "<|endoftext| > <|endoftext|"]
 
 
 def texts():
@@ -28,7 +28,6 @@ def texts():
 def test_byte_bpe_equals_whole_texts():
     path = queries.tokenizer_path(queries.BYTE_BPE)
     plain = tokenizers.Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     found = token_planes.encoder(path).batch(pa.array(texts()))
     assert [x.tolist() for x in found] == [e.ids for e in plain.encode_batch(texts(), add_special_tokens=False)]
 
@@ -111,6 +110,18 @@ def test_query_against_brute_force(spark, tables):
     assert not rows
 
 
+def test_query_on_texts_with_strings_of_added_tokens(spark, tmp_path):
+    rows = [(7, "hello <|endoftext|> world"), (2, None), (3, "<|endoftext|>"), (11, "plain words")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plain, start = tokenizers.Tokenizer.from_file(queries.tokenizer_path(queries.BYTE_BPE)), 0
+    found = {r["doc_id"]: r for r in queries.op9_token_planes(spark, str(tmp_path)).collect()}
+    for doc_id, text in sorted(rows):
+        ids = [*plain.encode(text or "", add_special_tokens=False).ids, 2]
+        r = found[doc_id]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_sentencepiece_rows(spark, tables):
     docs = spark.createDataFrame([(1, None, 9), (2, "", 9), (3, "a b", 9), (3, "a b", 9)], "doc_id long, text string, n_tokens int")
     rows = encode(docs, queries.tokenizer_path(queries.PIECE_MODEL)).collect()

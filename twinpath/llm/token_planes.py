@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -143,29 +144,39 @@ ARROW_CHUNKS = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("first"
 
 
 def splits_at_spaces(tokenizer_json: dict) -> bool:
-    """Byte-level BPE with its own pattern, no normaliser and no added space: words are independent."""
+    """Byte-level BPE with its own pattern, no normaliser, no added space and no added token with white space: words are independent."""
     pre = tokenizer_json.get("pre_tokenizer") or {}
-    return not tokenizer_json.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    plain = not tokenizer_json.get("normalizer") and not any(re.search(r"\s", t) for t in added_tokens(tokenizer_json))
+    return plain and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+
+
+def added_tokens(tokenizer_json: dict) -> list[str]:
+    return [t["content"] for t in tokenizer_json.get("added_tokens") or []]
+
+
+def quoted(text: str) -> str:
+    """A pattern of RE2 that matches the text itself."""
+    return "".join(c if c.isalnum() else rf"\x{{{ord(c):x}}}" for c in text)
 
 
 @functools.cache  # a worker keeps it from task to task
 def encoder(tokenizer_path: str) -> WordEncoder:
-    """An encoder by a tokenizer file; strings of special tokens in a text are ordinary text."""
+    """An encoder by a tokenizer file and its own settings; texts that hold a string of an added token go whole."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
-    tokenizer.encode_special_tokens = True
 
     def whole(texts: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    learn = None
-    if splits_at_spaces(json.loads(tokenizer.to_str())):
+    learn, settings = None, json.loads(tokenizer.to_str())
+    if splits_at_spaces(settings):
         # the letters of a byte-level token stand for a byte each
         lengths = [len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())]
         learn = ByteParts(tokenizer, Parted(whole, lengths, 1, " "))
     # a space before white space or the end may go with either side
-    return WordEncoder(whole, learn, f" ({WHITE}|$)", lambda words: [packed_ids(ids) for ids in whole(words)])
+    dependent = "|".join([f" ({WHITE}|$)", *(quoted(t) for t in added_tokens(settings))])
+    return WordEncoder(whole, learn, dependent, lambda words: [packed_ids(ids) for ids in whole(words)])
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS, bits: int = 8, shards: int | None = None) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -142,3 +143,55 @@ def test_a_differing_word_marks_its_own_texts_in_every_batch():
     found = [codec.verified(pa.array(b)) for b in batches]
     assert [same for _, same in found] == [[False, True, False], [False, True, True], [True]]
     assert [[x.tolist() for x in ids] for ids, _ in found] == [real.encode(b) for b in batches]
+
+
+def varint(value: int) -> bytes:
+    out = bytearray()
+    while value > 127:
+        out.append(value & 127 | 128)
+        value >>= 7
+    return bytes([*out, value])
+
+
+def message(*found: tuple[int, int | float | bytes]) -> bytes:
+    """A protobuf message of integers, floats and byte strings."""
+    parts = []
+    for number, value in found:
+        if isinstance(value, float):
+            parts.append(varint(number << 3 | 5) + struct.pack("<f", value))
+        elif isinstance(value, int):
+            parts.append(varint(number << 3) + varint(value))
+        else:
+            parts.append(varint(number << 3 | 2) + varint(len(value)) + value)
+    return b"".join(parts)
+
+
+def unigram_model(path, byte_fallback: bool, remove_extra: bool) -> str:
+    """A unigram model written by hand: letters, some words and, with byte fallback, all bytes."""
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    if byte_fallback:
+        pieces += [(f"<0x{b:02X}>", -12.0, 6) for b in range(256)]
+    words = ["▁", "▁the", "▁th", "he", "in", "ing", "▁an", "er", "▁cat", "cat", "s", "▁sing", "sing", "▁▁", "日本"]
+    letters = [c for c in "abcdefghijklmnopqrstuvwxyz.,é" if c not in words]
+    pieces += [(w, -3.0 - 0.37 * i, 1) for i, w in enumerate(words)] + [(c, -6.0 - 0.11 * i, 1) for i, c in enumerate(letters)]
+    body = [(1, message((1, p.encode()), (2, score), (3, kind))) for p, score, kind in pieces]
+    trainer = message((3, 1), (35, int(byte_fallback)))
+    normalizer = message((1, b"identity"), (3, 1), (4, int(remove_extra)), (5, 1))
+    path.write_bytes(message(*body, (2, trainer), (3, normalizer)))
+    return str(path)
+
+
+@pytest.mark.parametrize("remove_extra", [True, False])
+@pytest.mark.parametrize("byte_fallback", [True, False])
+def test_unigram_models_are_rebuilt(spark, tmp_path, byte_fallback, remove_extra):
+    path = unigram_model(tmp_path / "unigram.model", byte_fallback, remove_extra)
+    processor = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(3)
+    made = ["", "the cat sings", "the  cats", " the singer ", "thing.", "日本 é", "xyz Q", "🎉 cat"] + ["".join(rng.choice(["the", "cat", "s", "ing", " ", "  ", "é", "z", "日本", "Q", "."]) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    codec = Codec(path, 1, True)
+    ids, same = codec.verified(pa.array(made))
+    assert [x.tolist() for x in ids] == processor.encode(made) and all(same) and codec.differing == 0
+    rows = encode(spark.createDataFrame([(i, t) for i, t in enumerate(made)], "doc_id long, text string"), path).collect()
+    assert all(r["parity"] for r in rows)
+    if byte_fallback and not remove_extra:
+        assert all(r["decodes"] for r in rows)

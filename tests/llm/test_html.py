@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from twinpath.llm import html_text, queries
@@ -18,7 +20,7 @@ from twinpath.llm import html_text, queries
         ("<table><tr><th>h<th>wide head<tr><td>1<td>2<br>3</table>after", "h | wide head\n1 | 2\n  | 3\n\nafter"),
         ("<table><tr><td>x</td><td><table><tr><td>in</td></tr></table></td></tr></table>", "x | in"),
         ("<pre>  x\n    y</pre>z", "  x\n    y\n\nz"),
-        ("<p hidden>a</p><span style='display: none'>b</span><div aria-hidden=true>c</div>d", "d"),
+        ("<p hidden>a</p><span style='display: none'>b</span><div aria-hidden=true>c</div>d", "c\nd"),
         ("<script>if (a < b) {}</script><style>p{}</style>x<!-- y -->z", "xz"),
         ("<title>t</title><body>x", "x"),
         ("1 < 2 and <3", "1 < 2 and <3"),
@@ -53,6 +55,52 @@ def test_formulas_drawings_dialogs_and_lists(source, text):
     assert html_text.extracted(source)[1] == text
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<span style='visibility:hidden'>a<b style='visibility: visible'>b</b></span>c", "bc"),
+        ("<ul style='visibility:hidden'><li>a<li style='visibility:visible'>b</ul>", "- b"),
+        ("<style>.x, #y {display:none} p.z {visibility: hidden}</style><p class='w x'>a<p id=y>b<p class=z>c<div class=z>d</div>", "d"),
+        ("<style>.x{display:none} p.x{display:block}</style><p class=x>a<div class=x>b</div>", "a"),
+        ("<style>.x{display:none!important}</style><p class=x style='display:block'>a<p>b", "b"),
+        ("<style>@media print{.x{display:none}} @media screen{.y{display:none}} /* .z{display:none} */ .z{color:red}</style><p class=x>a<p class=y>b<p class=z>c", "a\n\nc"),
+        ("<style media=print>.x{display:none}</style><style>p .x{display:none} .x:hover{display:none}</style><p class=x>a", "a"),
+        ("<p class=x>a<style>.x{display:none", ""),
+        ("<p class=x>a<style>.x{display:none}</style><p>b", "b"),
+        ("<style>.h{display:block}</style><p hidden class=h>a<p hidden>b", "a"),
+        ("<a title=it's>x</a> <a title='it\"s' href=/a/b/>y</a> <b x=\"a>b\" \"c>z</b>", "x y z"),
+        ("<a =x ==y z = 'q' w>v</a><p a=>u", "v\n\nu"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a | b\n  | c\nd | e"),
+        ("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tbody><tr><td>f<td>g<td>h</table>", "a | b | c\nd |   | e\nf | g | h"),
+        ("<table><tr><td colspan=2>a<td>b<tr><td>c<td>d<td>e</table>", "a |   | b\nc | d | e"),
+        ("<table><tr><td colspan=100000>a<td>b<tr><td>c</table>", "a | b\nc"),
+        ("<table><tr style='visibility:collapse'><td>a<tr><td>b</table>", "b"),
+    ],
+)
+def test_style_rules_attributes_and_spans(source, text):
+    assert html_text.extracted(source)[1] == text
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<p><button>" + "<div>" * 40_000,
+        "<p>" + "<button><div>" * 20_000,
+        "<table><tr>" + "<td colspan=1000>x" * 10_000,
+        "<table><tr>" + "<td rowspan=9999>x" * 3_000 + "<tr><td>y" * 3_000,
+        "<table><tr><td>" + "w" * 100_000 + "<tr><td>a<td>b" * 10_000,
+        "<table><tr>" + "<td>x" * 2_000 + "<td>" + "<br>y" * 20_000,
+        "<a b='" * 20_000,
+        '<a b="x' * 20_001,
+        "<style>" + ".a{display:none}" * 20_000 + "</style>" + "<p class=b>x" * 2_000,
+    ],
+)
+def test_cost_grows_with_the_source(source):
+    began = time.process_time()
+    text = html_text.extracted(source)[1]
+    assert time.process_time() - began < 3 and len(text) < 20 * len(source) + 1000
+
+
 def test_deep_nesting_and_long_sources_end():
     assert html_text.extracted("<div>" * 20_000 + "x")[1] == "x"
     assert html_text.extracted("<b" * 20_000)[1].startswith("<b<b")

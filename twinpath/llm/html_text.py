@@ -9,9 +9,17 @@ paragraphs, list items with markers and indents, preformatted text as it is, and
 table cells padded to aligned columns.
 
 Nothing visible is left out, be it navigation or a footer: what to keep of a
-page is a later decision. The one exception is what is marked aria-hidden, which
-browsers show: it is left out. A drop-down list shows one option. All loops are over the source or an explicit stack, so
-deep nesting and unclosed tags cost time in proportion to the source.
+page is a later decision. What is marked aria-hidden is visible and stays; a
+drop-down list shows one option; closed details are shown open, as a reader can
+open them. Hidden is what the page's own style hides, in a style attribute or by
+a rule of one name, class, id or several of these; rules with combinators,
+pseudo-classes or conditions are not applied.
+
+All loops are over the source or an explicit stack, so deep nesting and unclosed
+tags cost time in proportion to the source. Cells that span rows or columns keep
+later cells in their columns. Columns are aligned up to `ALIGNED` characters; a
+table that would be mostly empty places is written without alignment, cell by
+cell, so that its text is never much longer than its source.
 
 Defined cases: null and empty sources give an empty text; repeated rows are
 rendered as often as they come; null ids pass through; an empty table gives an
@@ -32,9 +40,11 @@ from pyspark.sql import types as T
 
 from .common import bounded, slices, text_of
 
-TAG = re.compile(r"<(/?)([A-Za-z][^\s/><]*+)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>")
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
-HIDING_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+#: Quotes count behind a = only, where a value begins; an unfinished tag ends at the next <.
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/><]*+)((?:[\s/]++|=?[^\s/><=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s<>\"'][^\s<>]*+)?+)?+|=)*+)>")
+ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
+DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?\s*(?=;|$)", re.IGNORECASE)
+SELECTOR = re.compile(r"([A-Za-z][\w-]*|\*)?((?:[.#][\w-]+)*)")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 #: Sets of element names by their part in HTML.
@@ -55,9 +65,6 @@ IMPLIED = {
     "tr": ({"tr"}, {"table"}),
     "td": ({"td", "th"}, {"table"}),
     "th": ({"td", "th"}, {"table"}),
-    "thead": ({"thead", "tbody", "tfoot", "caption"}, {"table"}),
-    "tbody": ({"thead", "tbody", "tfoot", "caption"}, {"table"}),
-    "tfoot": ({"thead", "tbody", "tfoot", "caption"}, {"table"}),
     "option": ({"option"}, {"select", "datalist"}),
     "body": ({"head"}, set()),
 }
@@ -65,6 +72,9 @@ IMPLIED = {
 ENDS_PARAGRAPH = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "summary"}
 #: A paragraph is looked for inside these only.
 SCOPE = frozenset("html body table td th caption button object template".split())
+#: Most columns and rows that a cell spans in HTML, the widest that a column is padded to, and empty places that any table may have.
+COLSPAN, ROWSPAN, ALIGNED, EMPTY = 1000, 65534, 120, 100_000
+ROW_GROUPS = frozenset(("thead", "tbody", "tfoot"))
 #: In the head these may stand; anything else begins the body.
 HEAD_ONLY = frozenset("base link meta script style title template noscript".split())
 
@@ -122,29 +132,26 @@ def tree(source: str) -> Node:
     """The tree of a source, with implied tags supplied."""
     top = Node("html", {})
     stack = [top]
-    open_names: dict[str, int] = {}
+    open_names: dict[str, list[int]] = {}  # where in the stack elements of a name are open
 
     def push(name: str, attributes: dict[str, str]) -> None:
         node = Node(name, attributes)
         stack[-1].children.append(node)
+        open_names.setdefault(name, []).append(len(stack))
         stack.append(node)
-        open_names[name] = open_names.get(name, 0) + 1
 
-    def pop() -> None:
-        open_names[stack.pop().name] -= 1
+    def nearest(names: set[str] | frozenset[str]) -> int:
+        return max((places[-1] for n in names if (places := open_names.get(n))), default=0)
 
-    def close(names: set[str], barriers: set[str] | frozenset[str]) -> bool:
+    def close(names: set[str], barriers: set[str] | frozenset[str]) -> None:
         """Ends the nearest open element of these names, if no barrier is nearer."""
-        if not any(open_names.get(n) for n in names):
-            return False
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
-                while len(stack) > i:
-                    pop()
-                return True
-            if stack[i].name in barriers:
-                return False
-        return False
+        place = nearest(names)
+        if place and place >= nearest(barriers):
+            cut_back(place)
+
+    def cut_back(place: int) -> None:
+        while len(stack) > place:
+            open_names[stack.pop().name].pop()
 
     for kind, name, rest in tokens(source):
         if kind == "text":
@@ -169,12 +176,14 @@ def tree(source: str) -> Node:
                 close({"p"}, SCOPE)
             if name in IMPLIED:
                 close(*IMPLIED[name])
+            elif name in ROW_GROUPS and (table := nearest({"table"})):  # ends a row, a caption or another group of the table
+                cut_back(table + 1)
             if name in CELLS and stack[-1].name in ("table", "tbody", "thead", "tfoot"):
                 push("tr", {})
             attributes = attributes_of(rest) if rest.strip(" /") else {}
             foreign = [f for f in UNDRAWN if open_names.get(f)]
             if any(name in UNDRAWN[f] for f in foreign):
-                attributes["hidden"] = ""
+                attributes["-undrawn"] = "1"
             if name == "text" and "svg" in foreign:
                 attributes["-apart"] = "1"
             if name in VOID or (foreign and rest.endswith("/")):
@@ -184,14 +193,81 @@ def tree(source: str) -> Node:
     return top
 
 
-def visible(node: Node) -> bool:
+def declared(block: str) -> Iterator[tuple[str, str, bool]]:
+    """(property, value, important) of the display and visibility that a block sets."""
+    for m in DECLARED.finditer(block):
+        yield m[1].lower(), m[2].lower(), bool(m[3])
+
+
+def blocks_of(style: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of a style sheet, without those under a condition."""
+    above: list[bool] = []  # for each open block around, whether what is in it counts
+    at, style = 0, re.sub(r"/\*.*?(?:\*/|$)", " ", style, flags=re.DOTALL)
+    for m in re.finditer(r"[{};]", style):
+        before = style[at : m.start()].strip()
+        if m[0] == "{":
+            if before.startswith("@"):
+                above.append(all(above) and bool(re.fullmatch(r"@media\s+(?:all|screen)|@layer\b.*", before, re.IGNORECASE | re.DOTALL)))
+            else:
+                end = style.find("}", m.end())
+                if all(above):
+                    yield before, style[m.end() : end if end >= 0 else len(style)]
+                above.append(False)
+        elif m[0] == "}" and above:
+            above.pop()
+        at = m.end()
+
+
+class Sheet:
+    """What the rules of a page's style sheets say about display and visibility."""
+
+    def __init__(self, styles: list[str]) -> None:
+        # by the last class, id or name of a selector: (its name, classes and ids), rank, property, value
+        self.rules: dict[str, list[tuple[str, frozenset[str], tuple, str, str]]] = {}
+        order = 0
+        for style in styles:
+            for selectors, block in blocks_of(style):
+                found = list(declared(block))
+                for selector in selectors.split(",") if found else []:
+                    m = SELECTOR.fullmatch(selector.strip())
+                    if not m or not m[0]:
+                        continue
+                    order += 1
+                    parts = re.findall(r"[.#][\w-]+", m[2])
+                    name = (m[1] or "*").lower()
+                    weight = (sum(p[0] == "#" for p in parts), len(parts), name != "*")
+                    self.rules.setdefault(parts[-1] if parts else name, []).extend((name, frozenset(parts), (important, *weight, order), prop, value) for prop, value, important in found)
+
+    def looks(self, node: Node) -> tuple[str | None, str | None]:
+        """The display and the visibility that are set for an element, by rules or its style attribute."""
+        a, best = node.attributes, {}
+        if self.rules:
+            own = {f".{c}" for c in a.get("class", "").split()} | ({f"#{a['id']}"} if a.get("id") else set())
+            for key in (*own, node.name, "*"):
+                for name, parts, rank, prop, value in self.rules.get(key, ()):
+                    if name in ("*", node.name) and parts <= own and rank > best.get(prop, ((),))[0]:
+                        best[prop] = rank, value
+        if a.get("style"):
+            for i, (prop, value, important) in enumerate(declared(a["style"])):
+                rank = (important, float("inf"), i)
+                if rank > best.get(prop, ((),))[0]:
+                    best[prop] = rank, value
+        return tuple(best[p][1] if p in best else None for p in ("display", "visibility"))  # type: ignore[return-value]
+
+
+def displayed(node: Node, display: str | None, visibility: str | None = None) -> bool:
+    """Whether an element has a place on the page, given what is set for it."""
     a = node.attributes
-    if node.name in HIDDEN or (node.name == "dialog" and "open" not in a):
+    if node.name in HIDDEN or "-undrawn" in a or (node.name == "input" and a.get("type", "").lower() == "hidden"):
+        return False
+    if visibility == "collapse" and (node.name == "tr" or node.name in ROW_GROUPS):
         return False
-    return not ("hidden" in a or a.get("aria-hidden", "").lower() == "true" or (node.name == "input" and a.get("type", "").lower() == "hidden") or (a.get("style") and HIDING_STYLE.search(a["style"])))
+    if display:
+        return display != "none"
+    return not ("hidden" in a or (node.name == "dialog" and "open" not in a))
 
 
-def drop_down(select: Node) -> str | None:
+def drop_down(select: Node, sheet: Sheet) -> str | None:
     """The text that a drop-down list shows: its last selected option, or the first that can be chosen; None for a list box."""
     size = select.attributes.get("size", "").strip()
     if "multiple" in select.attributes or (size.isdecimal() and int(size) > 1):
@@ -215,7 +291,7 @@ def drop_down(select: Node) -> str | None:
         node = inner.pop()
         if isinstance(node, str):
             parts.append(node)
-        elif node.name not in ("option", "optgroup") and visible(node):
+        elif node.name not in ("option", "optgroup") and displayed(node, *sheet.looks(node)):
             inner.extend(reversed(node.children))
     return "".join(parts)
 
@@ -254,28 +330,75 @@ class Page:
         self.blank = True
 
 
-def grid(rows: list[list[str]]) -> list[str]:
-    """Rows of cells as lines, the columns aligned; the lines of a cell stay below each other."""
-    parts = [[cell.split("\n") for cell in row] for row in rows]
-    wide = [max((width(line) for row in parts if i < len(row) for line in row[i]), default=0) for i in range(max(map(len, rows), default=0))]
-    lines = []
-    for row in parts:
-        for k in range(max(map(len, row), default=0)):
-            cells = [(cell[k] if k < len(cell) else "", wide[i]) for i, cell in enumerate(row)]
-            lines.append(" | ".join(text + " " * (w - width(text)) for text, w in cells).rstrip())
-    return [line for line in lines if line.strip(" |")]
+class Table:
+    """Rows of cells, each at its column behind the cells that span down from rows above."""
 
-
-def render(top: Node) -> str:
-    """All visible text of a tree."""
-    page = Page()
+    def __init__(self) -> None:
+        self.rows: list[list[tuple[int, str]]] = []
+        self.column = 0
+        #: (first column, column after, row after) of cells that span rows, by column.
+        self.spans: list[tuple[int, int, float]] = []
+
+    def row(self) -> None:
+        self.rows.append([])
+        self.column = 0
+        self.spans = [s for s in self.spans if s[2] >= len(self.rows)]
+
+    def cell(self, text: str, columns: int, rows: float) -> None:
+        if not self.rows:
+            self.row()
+        i = 0
+        while i < len(self.spans) and self.spans[i][0] <= self.column:
+            self.column = max(self.column, self.spans[i][1])
+            i += 1
+        self.rows[-1].append((self.column, text))
+        stop = self.column + columns
+        if rows > 1:
+            until = len(self.rows) + rows - 1
+            if i and self.spans[i - 1][1:] == (self.column, until):
+                self.spans[i - 1] = (self.spans[i - 1][0], stop, until)
+            else:
+                self.spans.insert(i, (self.column, stop, until))
+        self.column = stop
+
+    def lines(self) -> list[str]:
+        """The columns aligned; the lines of a cell stay below each other."""
+        starts = {c: i for i, c in enumerate(sorted({c for row in self.rows for c, _ in row}))}
+        parts = [[(starts[c], text.split("\n")) for c, text in row] for row in self.rows]
+        tall = [max((len(lines) for _, lines in row), default=0) for row in parts]
+        filled = sum(len(lines) for row in parts for _, lines in row)
+        if sum(h * (row[-1][0] + 1) for h, row in zip(tall, parts, strict=True) if row) > 4 * filled + EMPTY:
+            return [line for row in parts for line in ([" | ".join(lines[0] for _, lines in row)] if max(map(lambda x: len(x[1]), row), default=0) == 1 else [x for _, lines in row for x in lines]) if line.strip(" |")]
+        wide = [0] * len(starts)
+        for row in parts:
+            for i, lines in row:
+                wide[i] = max(wide[i], max((w for line in lines if (w := width(line)) <= ALIGNED), default=0))
+        found = []
+        for height, row in zip(tall, parts, strict=True):
+            for k in range(height):
+                cells = [""] * (row[-1][0] + 1)
+                for i, lines in row:
+                    cells[i] = lines[k] if k < len(lines) else ""
+                found.append(" | ".join(text + " " * (w - width(text)) for text, w in zip(cells, wide, strict=False)).rstrip())
+        return [line for line in found if line.strip(" |")]
+
+
+def span_of(node: Node, name: str, most: int) -> int:
+    """A cell's span; of one that isn't a number, 1."""
+    value = node.attributes.get(name, "1").strip()
+    return min(int(value), most) if re.fullmatch(r"[0-9]{1,9}", value) else 1
+
+
+def render(top: Node, styles: list[str]) -> str:
+    """All visible text of a tree under its style sheets."""
+    page, sheet, hidden = Page(), Sheet(styles), False
     pages = [page]
     lists: list[list] = []
-    tables: list[list[list[str]]] = []
+    tables: list[Table] = []
     pre = 0
     prefix = ""
     # what is left to do: a text, a node to enter, or a node to leave
-    todo: list[tuple[str, object]] = [("enter", top)]
+    todo: list[tuple] = [("enter", top)]
 
     def indent() -> str:
         return "  " * max(0, len(lists) - 1)
@@ -288,9 +411,11 @@ def render(top: Node) -> str:
             prefix = " " * width(prefix)
 
     while todo:
-        what, it = todo.pop()
+        what, it, *before = todo.pop()
         if isinstance(it, str):
-            if pre:
+            if hidden:
+                page.text(" ")
+            elif pre:
                 first, *more = it.split("\n")
                 page.text(first.replace(" ", " "))
                 for line in more:
@@ -301,26 +426,28 @@ def render(top: Node) -> str:
             continue
         name = it.name
         if what == "enter":
-            if not visible(it):
+            display, visibility = sheet.looks(it)
+            if not displayed(it, display, visibility):
+                continue
+            was, hidden = hidden, visibility in ("hidden", "collapse") if visibility in ("hidden", "collapse", "visible") else hidden
+            if hidden and name in ("img", "input", "select"):
+                hidden = was
                 continue
             if name == "br":
                 flush_pre(page) if pre else end_line()
-                continue
-            if name == "hr":
+            elif name == "hr":
                 end_line()
                 page.space()
-                continue
-            if name == "img":
+            elif name == "img":
                 page.text(it.attributes.get("alt", ""))
-                continue
-            if name == "input":
-                if it.attributes.get("type", "").lower() in ("button", "submit", "reset"):
-                    page.text(f" {it.attributes.get('value', '')} ")
-                continue
+            elif name == "input" and it.attributes.get("type", "").lower() in ("button", "submit", "reset"):
+                page.text(f" {it.attributes.get('value', '')} ")
             if name in VOID:
+                hidden = was
                 continue
-            if name == "select" and (shown := drop_down(it)) is not None:
+            if name == "select" and (shown := drop_down(it, sheet)) is not None:
                 page.text(f" {shown} ")
+                hidden = was
                 continue
             if it.attributes.get("-apart"):
                 page.text(" ")
@@ -337,27 +464,28 @@ def render(top: Node) -> str:
                     lists.append(["ul", 0])
                     it.attributes["-own-list"] = "1"
                 lists[-1][1] += 1
-                prefix = indent() + (f"{lists[-1][1]}. " if lists[-1][0] == "ol" else "- ")
+                prefix = "" if hidden else indent() + (f"{lists[-1][1]}. " if lists[-1][0] == "ol" else "- ")
             elif name == "dd":
                 prefix = "  "
             elif name == "pre":
                 pre += 1
             elif name == "table":
-                tables.append([])
+                tables.append(Table())
                 it.attributes["-lists"], it.attributes["-prefix"] = lists, prefix
                 lists, prefix = [], ""
             elif name == "tr" and tables:
-                tables[-1].append([])
+                tables[-1].row()
+            elif name in ROW_GROUPS and tables:
+                tables[-1].spans.clear()
             elif name in CELLS and tables:
-                if not tables[-1]:
-                    tables[-1].append([])
                 page = Page()
                 pages.append(page)
-            todo.append(("leave", it))
+            todo.append(("leave", it, was))
             todo.extend(("enter", child) for child in reversed(it.children))
             continue
         if it.attributes.get("-apart"):
             page.text(" ")
+        hidden = before[0]
         if name in BLOCKS:
             flush_pre(page) if pre and page.inline else end_line()
             if name in SPACED and not (name in LISTS and len(lists) > 1):
@@ -374,14 +502,11 @@ def render(top: Node) -> str:
         elif name in CELLS and tables and len(pages) > 1:
             cell = "\n".join(pages.pop().lines)
             page = pages[-1]
-            tables[-1][-1].append(cell)
-            try:
-                extra = min(int(it.attributes.get("colspan", "1")), 100) - 1
-            except ValueError:
-                extra = 0
-            tables[-1][-1].extend([""] * extra)
+            tables[-1].cell(cell, max(1, span_of(it, "colspan", COLSPAN)), span_of(it, "rowspan", ROWSPAN) or float("inf"))
+        elif name in ROW_GROUPS and tables:
+            tables[-1].spans.clear()
         elif name == "table" and tables:
-            for line in grid(tables.pop()):
+            for line in tables.pop().lines():
                 page.line(line)
             page.space()
             lists, prefix = it.attributes["-lists"], it.attributes["-prefix"]
@@ -398,14 +523,16 @@ def flush_pre(page: Page) -> None:
 def extracted(source: str) -> tuple[str, str, int]:
     """(title, visible text, number of tables) of a source."""
     top = tree(source)
-    title, tables, todo = "", 0, [top]
+    title, tables, styles, todo = "", 0, [], [top]
     while todo:
         node = todo.pop()
         if node.name == "title" and not title:
             title = SPACE.sub(" ", "".join(c for c in node.children if isinstance(c, str))).strip()
+        elif node.name == "style" and node.attributes.get("media", "all").strip().lower() in ("", "all", "screen"):
+            styles.append("".join(c for c in node.children if isinstance(c, str)))
         tables += node.name == "table"
         todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
-    return title, render(top), tables
+    return title, render(top, styles), tables
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

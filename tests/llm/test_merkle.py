@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,11 +15,20 @@ def sha(kind, text):
     return hashlib.sha256((kind + text).encode()).hexdigest()
 
 
+def leaves(paragraph):
+    return [sha("", x) for x in re.findall(merkle.LEAF, paragraph, re.ASCII)]
+
+
 def plain_root(text):
-    return sha("r", "".join(sha("s", "".join(sha("p", p) for p in s.split("\n"))) for s in text.split("\n\n")))
+    return sha("r", "".join(sha("s", "".join(sha("p", "".join(leaves(p))) for p in s.split("\n"))) for s in text.split("\n\n")))
+
+
+def plain_near(a, b):
+    x, y = ({n for p in t.split("\n") for n in leaves(p)} | {plain_root(t)} for t in (a, b))
+    return 2 * len(x & y) / (len(x) + len(y))
 
 
-TEXTS = ["", "a", "a\nb", "a\n\nb", "a\n\n\nb", "\n", " a", "é " * 50, "w" * 200]
+TEXTS = ["", "a", "a\nb", "a\n\nb", "a\n\n\nb", "\n", " a", "a ", " ", "\t \n x", "é " * 50, "w" * 200, "a b c d  e f\u00a0g h i j", "🎉" * 40]
 
 
 def test_roots(spark):
@@ -28,14 +38,36 @@ def test_roots(spark):
     assert len({r["fingerprint"] for r in rows}) == len(TEXTS)
 
 
-def test_likeness_and_differences(spark):
-    a = "one two three four five\nsix seven\n\neight nine ten"
-    df = spark.createDataFrame([(a, a), (a, a.replace("nine", "9")), (a, ""), ("", ""), (a, a + "\n\nnew")], "text string, other string")
-    both = merkle.fingerprints(merkle.fingerprints(df), "other", "o_")
-    near = merkle.likeness(F.col("blocks"), F.col("fingerprint"), F.col("o_blocks"), F.col("o_fingerprint"))
-    rows = both.select(near.alias("near"), merkle.differences(F.col("sections"), F.col("o_sections")).alias("d")).collect()
-    assert rows[0]["near"] == rows[3]["near"] == 1.0 and 0 < rows[1]["near"] < 1 and rows[2]["near"] == 0
-    assert [[tuple(x) for x in r["d"]] for r in rows] == [[], [(1, 0)], [(0, 0), (0, 1), (1, 0)], [], [(2, 0)]]
+def test_leaves_cover_every_paragraph():
+    assert all("".join(re.findall(merkle.LEAF, p, re.ASCII)) == p for t in TEXTS for p in t.split("\n"))
+
+
+A = "one two three four five\nsix seven\n\neight nine ten\n\nlast"
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "removed", "added"),
+    [
+        (A, A, [], []),
+        ("", "", [], []),
+        (A, A.replace("nine", "9"), [(1, 0)], [(1, 0)]),
+        (A, A.replace("six", "put in\nsix"), [], [(0, 1)]),
+        (A, "put in\n\n" + A, [], [(0, 0)]),
+        (A, A.replace("six seven\n\n", "\n"), [(0, 1)], []),
+        (A, "", [(0, 0), (0, 1), (1, 0), (2, 0)], [(0, 0)]),
+        (A, A + "\n\nlast", [], [(3, 0)]),
+        ("a\n\nb\n\nc", "c\n\nb\n\na", [(0, 0), (1, 0), (2, 0)], [(0, 0), (1, 0), (2, 0)]),
+        ("a\nb", "a\n\nb", [(0, 0), (0, 1)], [(0, 0), (1, 0)]),
+        ("a\nb\n\nc", "a\nb\nb\n\nc", [(0, 0), (0, 1)], [(0, 0), (0, 1), (0, 2)]),
+        ("\n".join(map(str, range(400))), "\n".join(str(i) if i % 3 else f"x{i}" for i in range(400)), [(0, i) for i in range(0, 400, 3)], [(0, i) for i in range(0, 400, 3)]),
+    ],
+)
+def test_likeness_and_differences(spark, a, b, removed, added):
+    both = merkle.fingerprints(merkle.fingerprints(spark.createDataFrame([(a, b)], "text string, other string")), "other", "o_")
+    near = merkle.likeness(F.col("leaves"), F.col("fingerprint"), F.col("o_leaves"), F.col("o_fingerprint"))
+    row = both.select(near.alias("near"), merkle.differences(F.col("sections"), F.col("o_sections")).alias("d")).first()
+    assert row["near"] == pytest.approx(plain_near(a, b))
+    assert [[tuple(x) for x in side] for side in row["d"]] == [removed, added]
 
 
 @pytest.mark.parametrize("buckets", [1, 3, 50])
@@ -63,4 +95,4 @@ def test_query_against_brute_force(spark, tables):
         r = rows[doc_id]
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
         assert r["fingerprint"] == plain_root(text) and r["edited_fingerprint"] == plain_root(changed)
-        assert 0 <= r["near_next"] <= 1 and (text != changed or r["near_edited"] == 1)
+        assert r["near_edited"] == pytest.approx(plain_near(text, changed)) and r["near_next"] == pytest.approx(plain_near(text, following))

@@ -17,30 +17,53 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM placed GROUP BY conv_id"""
 
 
-def _tree(text: str) -> str:
+def _sections(text: str) -> str:
     return f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: string_split(s, chr(10)))"
 
 
-def _root(tree: str) -> str:
-    return f"sha256('r' || array_to_string(list_transform({tree}, lambda s: sha256('s' || array_to_string(list_transform(s, lambda p: sha256('p' || p)), ''))), ''))"
+def _leaves(sections: str) -> str:
+    return rf"list_transform({sections}, lambda s: list_transform(s, lambda p: list_transform(regexp_extract_all(p, '[ \t\x0b\f\r]*(?:[^ \t\x0b\f\r]{{1,32}}[ \t\x0b\f\r]*){{1,4}}|[ \t\x0b\f\r]+'), lambda x: sha256(x))))"
 
 
-def _blocks(text: str) -> str:
-    return rf"list_distinct(regexp_extract_all({text}, '(?:[^ \t\n\x0b\f\r]{{1,32}}[ \t\x0b\f\r]*){{1,4}}'))"
+def _root(leaves: str) -> str:
+    return f"sha256('r' || array_to_string(list_transform({leaves}, lambda s: sha256('s' || array_to_string(list_transform(s, lambda p: sha256('p' || array_to_string(p, ''))), ''))), ''))"
 
 
 def _near(a: str, b: str) -> str:
-    return f"CAST(2 * (len(list_intersect({a}blocks, {b}blocks)) + CASE WHEN {a}root = {b}root THEN 1 ELSE 0 END) AS DOUBLE) / (len({a}blocks) + len({b}blocks) + 2)"
+    return f"CAST(2 * (len(list_intersect({a}leaves, {b}leaves)) + CASE WHEN {a}root = {b}root THEN 1 ELSE 0 END) AS DOUBLE) / (len({a}leaves) + len({b}leaves) + 2)"
+
+
+def _lacking(x: str, y: str) -> str:
+    """Places in x, from 0, of what y lacks."""
+    return f"list_filter(range(len({x})), lambda i: NOT list_contains({y}, {x}[i + 1]))"
+
+
+def _between(x: str) -> str:
+    return f"range(front, len({x}) - least(back, least(len(a), len(b)) - front))"
+
+
+def _common(x: str, y: str) -> str:
+    """How many first elements two lists share."""
+    return f"coalesce(list_filter(range(least(len({x}), len({y}))), lambda i: {x}[i + 1] <> {y}[i + 1])[1], least(len({x}), len({y})))"
+
+
+def _opened(x: str, places: str) -> str:
+    return f"flatten(list_transform({places}, lambda i: list_transform(range(len({x}[i + 1])), lambda j: {{'s': i, 'p': j, 't': {x}[i + 1][j + 1]}})))"
 
 
 OP6_MERKLE = f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 following AS (SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text FROM docs WINDOW w AS (ORDER BY doc_id NULLS FIRST, text)),
 texts AS (SELECT *, left(text, length(text) - length(text) // 4) || left(next_text, length(text) // 4) AS edited FROM following),
-trees AS (SELECT doc_id, text, edited, {_tree("text")} AS a, {_tree("edited")} AS b, {_tree("next_text")} AS c, {_blocks("text")} AS a_blocks, {_blocks("edited")} AS b_blocks, {_blocks("next_text")} AS c_blocks FROM texts),
-roots AS (SELECT *, {_root("a")} AS a_root, {_root("b")} AS b_root, {_root("c")} AS c_root,
-  flatten(list_transform(range(greatest(len(a), len(b))), lambda s: list_transform(list_filter(range(greatest(coalesce(len(a[s + 1]), 0), coalesce(len(b[s + 1]), 0))), lambda p: a[s + 1][p + 1] IS DISTINCT FROM b[s + 1][p + 1]), lambda p: {{'s': s, 'p': p}}))) AS changed FROM trees)
+cut AS (SELECT *, {_sections("text")} AS a, {_sections("edited")} AS b, {_sections("next_text")} AS c FROM texts),
+trees AS (SELECT *, {_leaves("a")} AS a_tree, {_leaves("b")} AS b_tree, {_leaves("c")} AS c_tree FROM cut),
+roots AS (SELECT *, {_root("a_tree")} AS a_root, {_root("b_tree")} AS b_root, {_root("c_tree")} AS c_root, list_distinct(flatten(flatten(a_tree))) AS a_leaves, list_distinct(flatten(flatten(b_tree))) AS b_leaves, list_distinct(flatten(flatten(c_tree))) AS c_leaves,
+  {_lacking("a", "b")} AS a_new, {_lacking("b", "a")} AS b_new, {_common("a", "b")} AS front, {_common("list_reverse(a)", "list_reverse(b)")} AS back FROM trees),
+opened AS (SELECT *, CASE WHEN len(a_new) + len(b_new) = 0 THEN {_opened("a", _between("a"))} ELSE {_opened("a", "a_new")} END AS a_open, CASE WHEN len(a_new) + len(b_new) = 0 THEN {_opened("b", _between("b"))} ELSE {_opened("b", "b_new")} END AS b_open FROM roots),
+texts_of AS (SELECT *, list_transform(a_open, lambda x: x.t) AS a_texts, list_transform(b_open, lambda x: x.t) AS b_texts FROM opened),
+fresh AS (SELECT *, {_lacking("a_texts", "b_texts")} AS a_fresh, {_lacking("b_texts", "a_texts")} AS b_fresh FROM texts_of),
+changed AS (SELECT *, CASE WHEN len(a_fresh) + len(b_fresh) = 0 THEN len(a_open) ELSE len(a_fresh) END AS removed, CASE WHEN len(a_fresh) + len(b_fresh) = 0 THEN len(b_open) ELSE len(b_fresh) END AS added, CASE WHEN len(a_fresh) + len(b_fresh) = 0 THEN b_open[1] ELSE b_open[b_fresh[1] + 1] END AS first FROM fresh)
 SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, a_root AS fingerprint, b_root AS edited_fingerprint, {_near("a_", "b_")} AS near_edited, {_near("a_", "c_")} AS near_next,
-  CAST(len(changed) AS BIGINT) AS n_changed_paragraphs, changed[1].s AS first_changed_section, changed[1].p AS first_changed_paragraph FROM roots"""
+  CAST(removed AS BIGINT) AS n_removed_paragraphs, CAST(added AS BIGINT) AS n_added_paragraphs, first.s AS first_added_section, first.p AS first_added_paragraph FROM changed"""
 
 
 def _pairs() -> str:

@@ -66,7 +66,7 @@ def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited", "next_text")
     for prefix, column in (("", "text"), ("edited_", "edited"), ("next_", "next_text")):
         rows = merkle.fingerprints(rows, column, prefix).drop(column)
-    near = lambda other: merkle.likeness(F.col("blocks"), F.col("fingerprint"), F.col(f"{other}_blocks"), F.col(f"{other}_fingerprint"))
+    near = lambda other: merkle.likeness(F.col("leaves"), F.col("fingerprint"), F.col(f"{other}_leaves"), F.col(f"{other}_fingerprint"))
     rows = rows.withColumn("changed", merkle.differences(F.col("sections"), F.col("edited_sections")))
     return rows.select(
         "doc_id",
@@ -76,9 +76,10 @@ def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
         "edited_fingerprint",
         near("edited").alias("near_edited"),
         near("next").alias("near_next"),
-        F.size("changed").cast("bigint").alias("n_changed_paragraphs"),
-        F.get("changed", F.lit(0))["section"].cast("bigint").alias("first_changed_section"),
-        F.get("changed", F.lit(0))["paragraph"].cast("bigint").alias("first_changed_paragraph"),
+        F.size("changed.removed").cast("bigint").alias("n_removed_paragraphs"),
+        F.size("changed.added").cast("bigint").alias("n_added_paragraphs"),
+        F.get("changed.added", F.lit(0))["section"].cast("bigint").alias("first_added_section"),
+        F.get("changed.added", F.lit(0))["paragraph"].cast("bigint").alias("first_added_paragraph"),
     )
 
 

@@ -23,22 +23,15 @@ successor; an empty table gives an empty result; further columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, text_of, with_order_bucket
+from .common import let, shuffle_partitions, text_of, with_order_bucket
 
 #: Up to four runs of up to 32 other characters with the blanks around them, or blanks alone.
 LEAF = r"[ \t\x0B\f\r]*(?:[^ \t\x0B\f\r]{1,32}[ \t\x0B\f\r]*){1,4}|[ \t\x0B\f\r]+"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def node(kind: str, below: Column) -> Column:
     """The node over an array of nodes, 64 hex digits."""
     return F.sha2(F.concat(F.lit(kind), F.array_join(below, "")), 256)

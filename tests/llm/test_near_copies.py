@@ -52,7 +52,7 @@ def test_planted_near_copies(spark, monkeypatch, limit, block):
     monkeypatch.setattr(near_copies, "BLOCK", block)
     texts = corpus()
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    found = {r["doc_id"]: r["component_id"] for r in near_copies.groups(docs, bucket_limit=limit).collect()}
+    found = {r["doc_id"]: r["component_id"] for r in near_copies.groups(docs, bucket_limit=limit, pair_limit=limit).collect()}
     assert found == expected(texts, 0.8, 2)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import corpus_pipeline
-from twinpath.llm import decontaminate, pii, simhash
+from twinpath.llm import decontaminate, near_copies, pii, simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -18,6 +18,8 @@ def test_run_against_brute_force(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     first = {r["doc_id"]: r["text"] for r in corpus_pipeline.quality_stage(spark, docs, tables).collect()}
     prints = {i: simhash.fingerprint((t or "").encode(), corpus_pipeline.SHINGLE_WORDS) for i, t in first.items()}
+    sets = {i: set(near_copies.shingle_set((t or "").encode(), corpus_pipeline.SHINGLE_WORDS).tolist()) for i, t in first.items()}
+    alike = lambda i, j: len(sets[i] & sets[j]) >= corpus_pipeline.LEAST_JACCARD * len(sets[i] | sets[j]) > 0
     ids, root = sorted(prints), {i: i for i in prints}
 
     def find(i):
@@ -27,7 +29,7 @@ def test_run_against_brute_force(spark, tables):
 
     for k, i in enumerate(ids):
         for j in ids[:k]:
-            if (prints[i] ^ prints[j]).bit_count() <= corpus_pipeline.MAX_BITS:
+            if (prints[i] ^ prints[j]).bit_count() <= corpus_pipeline.MAX_BITS or alike(i, j):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     kept = {i for i in ids if find(i) == i}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -16,22 +17,64 @@ SLICE_ROWS = 128
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written tables.
 
-    The cluster's own setting is used when there is one. Only an unset one, as
-    in tests on one machine, is replaced by a temporary folder.
+    The cluster's own setting is used when there is one. An unset one is replaced
+    by a temporary folder where all of Spark is one process, as in tests;
+    elsewhere nothing that executors write there would be found again.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     configured = sc.getConf().get("spark.checkpoint.dir")
+    if not configured and not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="twinpath-checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def shared_path(spark: SparkSession, path: str, delete: bool = False) -> None:
+    """Has a folder deleted when the application ends, or now."""
+    sc = spark.sparkContext
+    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.delete(hadoop, True) if delete else fs.deleteOnExit(hadoop)
+
+
+def checkpoint_file(df: DataFrame) -> str | None:
+    """Where the rows of what `cut` returned lie."""
+    plan = df._jdf.queryExecution().analyzed()
+    found = plan.rdd().getCheckpointFile() if plan.nodeName().startswith("Scan") or "LogicalRDD" in plan.getClass().getName() else None
+    return found.get() if found is not None and found.isDefined() else None
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder, so that no lost executor repeats what made it."""
+    """Materialise df in the shared folder until the application ends, so that no lost executor repeats what made it."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    made = df.checkpoint()
+    if path := checkpoint_file(made):
+        shared_path(df.sparkSession, path)
+    return made
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes what `cut` wrote for df, which nothing may read any more."""
+    if path := checkpoint_file(df):
+        shared_path(df.sparkSession, path, delete=True)
+
+
+#: A key that more than one in so many rows have is hot; fewer than so many keys are.
+HOT = 1000
+
+
+def joined(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """rows joined to keyed, which holds each key once with the number of its rows in `count`, of `total` in all.
+
+    Rows of hot keys stay where they are: fewer than `HOT` rows of keyed are
+    broadcast to them. The other rows are shuffled, and no key is much of them.
+    """
+    hot, cold = keyed.filter(F.col(count) * HOT > total), keyed.filter(F.col(count) * HOT <= total)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -8,13 +8,17 @@ probability of (1 - 0.8^3)^20, below 1e-6, and more similar ones with a lower
 one. Every candidate pair is verified on its shingle sets.
 
 * Texts with equal shingle sets are one class, so copies never meet.
-* A key of at most `bucket_limit` classes pairs its members as rows, if their
+* A key of at most `pair_limit` classes pairs its members as rows, if their
   sizes allow the similarity.
-* The classes of any other key are dealt into blocks of about `BLOCK`, and each
-  pair of blocks is compared by one matrix product: all pairs as well, in many
-  tasks. What is similar there is connected to the least fingerprint that it
-  reaches, which gives the same components by few edges. Its rows are blocks,
-  but the comparisons grow with the members' square.
+* The classes of any other key are compared with its leader, the one whose
+  text's hash is least, which is mostly the same one in all keys that a family
+  of near copies shares. Those similar to it are connected through it, so no two
+  of them are compared. Every other class is compared with all classes of the
+  key: both are dealt into blocks of bounded size, and each pair of blocks is
+  compared by one matrix product. What is similar there is connected to the
+  least fingerprint that it reaches, which gives the same components by few
+  edges. So the work grows with a family of near copies, and with the square of
+  those only that share a key without being similar.
 
 Defined cases are those of `simhash`; a text without words has no keys and is
 linked by its fingerprint alone.
@@ -32,11 +36,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .common import bounded, cut, slices, text_of
+from .common import HOT, bounded, cut, joined, slices, text_of
 
 BANDS, ROWS = 20, 3
-#: Classes that a block holds, and shingles that minima are taken over at a time.
-BLOCK, PART = 256, 1 << 12
+#: Classes and shingles that a block holds, and shingles that minima are taken over at a time.
+BLOCK, BLOCK_SHINGLES, PART = 256, 1 << 19, 1 << 12
 _RANDOM = np.random.default_rng(simhash.SEED)
 FLIPS = _RANDOM.integers(0, 1 << 64, (BANDS * ROWS, 1), dtype=np.uint64)
 FACTORS = _RANDOM.integers(0, 1 << 64, (BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)
@@ -122,41 +126,50 @@ def packed_sets(docs: DataFrame, wanted: DataFrame, text_col: str, shingle_words
     return bounded(narrow).mapInArrow(kernel, "text_key long, packed binary")
 
 
-def links(docs: DataFrame, found: DataFrame, text_col: str, shingle_words: int, least: float, bucket_limit: int) -> DataFrame:
+def links(docs: DataFrame, found: DataFrame, text_col: str, shingle_words: int, least: float, pair_limit: int) -> DataFrame:
     """Edges (a, b) between the fingerprints of texts whose shingle sets are similar."""
-    classes = found.groupBy("same").agg(F.min(F.struct("text_key", "fingerprint", "size", "keys")).alias("c")).select("same", "c.*")
-    copies = found.select("same", F.col("fingerprint").alias("a")).join(classes.select("same", F.col("fingerprint").alias("b")), "same").select("a", "b").filter("a <> b")
+    prints = found.groupBy("same", "fingerprint").agg(F.min(F.struct("text_key", "size", "keys")).alias("c"))
+    classes = cut(prints.groupBy("same").agg(F.min(F.struct("c.text_key", "fingerprint", "c.size", "c.keys")).alias("c"), F.count(F.lit(1)).alias("prints")).select("same", "prints", "c.*"))
+    # equal shingle sets whose fingerprints differ, for repeats count in these
+    several = classes.filter("prints > 1").select("same", F.col("fingerprint").alias("b"))
+    copies = prints.select("same", F.col("fingerprint").alias("a")).join(several, "same").select("a", "b").filter("a <> b")
 
     rows = classes.select(F.explode("keys").alias("key"), "text_key", "fingerprint", "size")
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    shared = cut(rows.join(sizes, "key"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("shingles")).filter("members > 1")
+    shared = cut(joined(rows, sizes, ["key"], "members", classes.count() * BANDS))
     sets = cut(packed_sets(docs, shared.select("text_key").distinct(), text_col, shingle_words))
 
     members = F.array_sort(F.collect_list(F.struct("text_key", "fingerprint", "size")))
-    small = shared.filter(F.col("members") <= bucket_limit).groupBy("key").agg(members.alias("all"))
+    small = shared.filter(F.col("members") <= pair_limit).groupBy("key").agg(members.alias("all"))
     first = small.select("all", F.posexplode("all").alias("place", "a"))
-    pairs = first.select("a", F.explode(F.slice("all", F.col("place") + 2, bucket_limit)).alias("b"))
+    pairs = first.select("a", F.explode(F.slice("all", F.col("place") + 2, pair_limit)).alias("b"))
     fit = F.least("a.size", "b.size") >= F.lit(least) * F.greatest("a.size", "b.size")
     pairs = pairs.filter(fit & (F.col("a.fingerprint") != F.col("b.fingerprint"))).distinct()
     pairs = pairs.select(F.col("a.text_key").alias("x"), F.col("b.text_key").alias("y"), F.col("a.fingerprint").alias("a"), F.col("b.fingerprint").alias("b"))
     side = lambda name, out: sets.select(F.col("text_key").alias(name), F.col("packed").alias(out))
-    pairs = pairs.join(side("x", "left"), "x").join(side("y", "right"), "y").select("a", "b", "left", "right")
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yes = [similar(x, y, least) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(yes, pa.bool_()))
-
-    close = bounded(pairs).mapInArrow(each, "a long, b long")
-
+    close = verified(pairs.join(side("x", "left"), "x").join(side("y", "right"), "y"), least).select("a", "b")
+
+    hot = shared.filter(F.col("members") > pair_limit).select("key", "text_key", "fingerprint", "members", "shingles")
+    leaders = hot.groupBy("key").agg(F.min(F.struct(F.xxhash64("text_key").alias("hash"), F.col("text_key").alias("x"), F.col("fingerprint").alias("a"))).alias("l"), F.count(F.lit(1)).alias("n")).select("key", "l.x", "l.a", "n")
+    led = cut(joined(hot, leaders, ["key"], "n", hot.count()))
+    met = led.filter("x <> text_key").select("x", "a", F.col("text_key").alias("y"), F.col("fingerprint").alias("b")).distinct()
+    # a leader may have a third of all members: its set is copied to as many places as they are dealt to, HOT more than leaders in all
+    n_met = met.count()
+    weights = met.groupBy("x").agg(F.count(F.lit(1)).alias("n")).withColumn("places", F.ceil(F.col("n") * HOT / F.lit(max(n_met, 1))))
+    placed = joined(met, weights, ["x"], "n", n_met).withColumn("place", F.pmod(F.xxhash64("y"), F.col("places")))
+    copied = weights.select("x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("places") - 1)).alias("place")).join(side("x", "left"), "x")
+    attached = cut(verified(placed.join(side("y", "right"), "y").join(copied, ["x", "place"]), least))
+
+    apart = led.filter("x <> text_key").join(attached.select("x", F.col("y").alias("text_key")), ["x", "text_key"], "left_anti").select("key", "text_key").withColumn("apart", F.lit(True))
+    open_keys = apart.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    todo = joined(led.drop("n"), open_keys, ["key"], "n", led.count()).join(apart, ["key", "text_key"], "left").withColumn("apart", F.coalesce("apart", F.lit(False)))
     # a power of two, so that keys of about the same texts make about the same blocks and stars
-    blocks = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("members") / BLOCK))).cast("bigint")
-    blocks = F.greatest(blocks, F.lit(1))
-    hot = shared.filter(F.col("members") > bucket_limit).withColumn("block", F.pmod(F.xxhash64("text_key"), blocks)).join(sets, "text_key")
-    held = hot.groupBy("key", "block").agg(F.collect_list(F.struct("fingerprint", "packed")).alias("held"))
-    held = cut(held.select("key", "block", F.col("held.fingerprint").alias("prints"), F.col("held.packed").alias("sets")))
-    other = held.select("key", F.col("block").alias("other"), F.col("prints").alias("others"), F.col("sets").alias("theirs"))
-    met = held.join(other, "key").filter("block <= other").select("prints", "sets", "others", "theirs")
+    blocks = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)))).cast("bigint")
+    dealt = todo.withColumn("block", F.pmod(F.xxhash64("text_key"), F.greatest(blocks, F.lit(1)))).join(sets, "text_key")
+    held = dealt.groupBy("key", "apart", "block").agg(F.collect_list(F.struct("fingerprint", "packed")).alias("held"))
+    held = cut(held.select("key", "apart", "block", F.col("held.fingerprint").alias("prints"), F.col("held.packed").alias("sets")))
+    other = held.select("key", F.col("apart").alias("other_apart"), F.col("block").alias("other"), F.col("prints").alias("others"), F.col("sets").alias("theirs"))
+    crossing = held.filter("apart").join(other, "key").filter("not other_apart or block <= other").select("prints", "sets", "others", "theirs")
 
     def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -164,14 +177,26 @@ def links(docs: DataFrame, found: DataFrame, text_col: str, shingle_words: int,
             edges = stars((prints[i], others[j]) for i, j in similar_of(left, right, least))
             yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in range(2)], names=["a", "b"])
 
-    wide = bounded(met).mapInArrow(crossed, "a long, b long")
-    return copies.unionByName(close).unionByName(wide).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    wide = bounded(crossing).mapInArrow(crossed, "a long, b long")
+    found = copies.unionByName(close).unionByName(attached.select("a", "b")).unionByName(wide)
+    return found.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, least: float) -> DataFrame:
+    """(x, y, a, b) of the pairs (x, y, a, b, left, right) whose packed sets are similar."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yes = [similar(x, y, least) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["x", "y", "a", "b"]).filter(pa.array(yes, pa.bool_()))
+
+    return bounded(pairs.select("x", "y", "a", "b", "left", "right")).mapInArrow(each, "x long, y long, a long, b long")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_bits: int = 2, least: float = 0.8, bucket_limit: int = 64) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_bits: int = 2, least: float = 0.8, bucket_limit: int = 64, pair_limit: int = 8) -> DataFrame:
     """(id, fingerprint, component_id) of each row; component_id is the smallest id of its group."""
     found = cut(sketches(docs, id_col, text_col, shingle_words))
-    classes = found.groupBy("fingerprint").agg(F.min(id_col).alias("least_id"))
-    similar_texts = cut(links(docs, found, text_col, shingle_words, least, bucket_limit))
+    classes = simhash.classes_of(found, id_col)
+    similar_texts = cut(links(docs, found, text_col, shingle_words, least, pair_limit))
     edges = cut(simhash.links(classes, max_bits, 3 * max_bits + 1, bucket_limit).unionByName(similar_texts))
     return simhash.named(found.select(id_col, "fingerprint"), classes, edges, id_col)

@@ -18,7 +18,11 @@ How the links are found without comparing all pairs:
   everything there is linked to one of them. This is exact as well, and its
   rows grow with the members, not with their square;
 * components come from alternating large-star and small-star rounds, each cut
-  by a checkpoint; nothing is gathered on the driver but two sums a round.
+  by a checkpoint that replaces the one before; nothing is gathered on the
+  driver but two sums a round;
+* rows meet what is known of their key (a bucket's size, a hub's least
+  neighbour, a fingerprint's group) by `common.joined`, so a key that a third of
+  all rows have isn't one task's work.
 
 Defined cases: a null text is the empty text; a text without words has the
 fingerprint 0 and is linked like any other; fewer words than a shingle make one
@@ -40,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, cut, slices, text_of
+from .common import bounded, cut, dropped, joined, slices, text_of
 
 SEED = 42
 BITS = 64
@@ -154,7 +158,7 @@ def links(classes: DataFrame, max_bits: int, segments: int = 7, bucket_limit: in
     keys = F.array(*[F.struct(F.lit(r).alias("start"), F.col("fingerprint").bitwiseAND(F.lit(_signed(m))).alias("key")) for r, m in enumerate(ring.masks())])
     rows = classes.select("fingerprint", F.explode(keys).alias("k")).select("k.start", "k.key", "fingerprint")
     sizes = rows.groupBy("start", "key").agg(F.count(F.lit(1)).alias("members"))
-    shared = rows.join(sizes.filter("members > 1"), ["start", "key"])
+    shared = joined(rows, sizes.filter("members > 1"), ["start", "key"], "members", classes.count() * segments)
 
     small = shared.filter(F.col("members") <= bucket_limit).groupBy("start", "key").agg(F.array_sort(F.collect_list("fingerprint")).alias("all"))
     first = small.select("start", "all", F.posexplode("all").alias("place", "a"))
@@ -192,28 +196,35 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = tuple(seen)
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u")
-        current = cut(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v"))).distinct())
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = joined(both, least, ["u"], "n", 2 * seen[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lower = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = joined(large, lower, ["u"], "n", 2 * seen[0])
+        last, current = current, cut(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v"))).distinct())
+        dropped(last)
     raise RuntimeError("the components did not settle")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_bits: int = 3, segments: int | None = None, bucket_limit: int = 64) -> DataFrame:
     """(id, fingerprint, component_id) of each row; component_id is the smallest id of its group."""
     prints = cut(fingerprints(docs, id_col, text_col, shingle_words))
-    classes = prints.groupBy("fingerprint").agg(F.min(id_col).alias("least_id"))
+    classes = classes_of(prints, id_col)
     return named(prints, classes, links(classes, max_bits, segments or 3 * max_bits + 1, bucket_limit), id_col)
 
 
+def classes_of(prints: DataFrame, id_col: str) -> DataFrame:
+    """(fingerprint, least_id, rows) of each distinct fingerprint."""
+    return cut(prints.groupBy("fingerprint").agg(F.min(id_col).alias("least_id"), F.count(F.lit(1)).alias("rows")))
+
+
 def named(prints: DataFrame, classes: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
     """prints and the component_id that the edges between their fingerprints give."""
     roots = components(edges)
-    joined = classes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    least = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labels = joined.join(least, "root").select("fingerprint", "component_id")
-    return prints.join(labels, "fingerprint").select(id_col, "fingerprint", "component_id")
+    rooted = classes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("classes"))
+    n_classes, n_rows = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    labels = joined(rooted, least, ["root"], "classes", n_classes).select("fingerprint", "component_id", "rows")
+    return joined(prints, labels, ["fingerprint"], "rows", n_rows).select(id_col, "fingerprint", "component_id")
 
 
 def hexadecimal(column: str) -> Column:

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, ensure_checkpoint_dir, shuffle_partitions, slices, text_of, with_order_bucket
+from .common import bounded, ensure_checkpoint_dir, shared_path, shuffle_partitions, slices, text_of, with_order_bucket
 from .word_cache import WHITE, ByteParts, Parted, WordEncoder, byte_slices
 from .word_cache import packed as packed_ids
 
@@ -258,7 +258,5 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh folder among the shared ones, deleted when the application ends."""
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    shared_path(spark, path)
     return path

@@ -6,8 +6,9 @@ drop documents that hold benchmark items, redact personal data, and encode with
 a SentencePiece model. All but the last return the columns of their input.
 
 Defined cases: null texts count as empty ones and stay null; of rows that agree
-in id and text, near-dedup keeps one; rows with null ids stay there, for no group
-can name them; a stage over an empty table returns an empty one; further columns
+in id and text, near-dedup keeps the one whose other columns are least as JSON;
+rows with null ids stay there, for no group can name them; without n_chars, none
+is made; a stage over an empty table returns an empty one; further columns
 pass through, whatever their names.
 """
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinpath.llm import decontaminate, near_copies, pii, quality, sentencepiece_codec
@@ -38,7 +39,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near copies, that with the smallest id; of repeated rows, one."""
     found = near_copies.groups(docs, shingle_words=SHINGLE_WORDS, max_bits=MAX_BITS, least=LEAST_JACCARD)
     kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    others = F.to_json(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]))
+    first = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("_others"))
+    named = docs.join(kept, "doc_id", "left_semi").withColumn("_others", others).withColumn("_first", first).filter("_first = 1").select(*docs.columns)
     return named.unionByName(docs.filter("doc_id is null"))
 
 
@@ -50,6 +53,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose personal data is replaced by its kind; n_chars follows."""
     made = pii.redact(docs)
+    if "n_chars" not in docs.columns:
+        return made
     return made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

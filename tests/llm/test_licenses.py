@@ -45,6 +45,7 @@ def test_rows(spark):
     assert len(rows) == len(CASES)
     for i, text in enumerate(CASES):
         check(rows[i], text)
+    assert all(license_scan.scan(spark.createDataFrame([(1, f"x {text} y")], "doc_id long, text string")).first()["labels"].find(label) >= 0 for text, label in license_scan.TEMPLATES[-4:])
     assert "mit-notice" in rows[8]["labels"] and rows[11]["labels"] == "mit-text" and rows[11]["score"] == 1.0
     assert rows[12]["labels"] == "mit-text" and 0.9 < rows[12]["score"] < 1.0 and rows[13]["labels"] == ""
 

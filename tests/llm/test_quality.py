@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -59,9 +60,27 @@ def test_query_on_held_out_labels(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet").count()
     assert len(rows) == docs and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows.values())
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in rows.items())
-    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{tables}/labels.parquet").collect()]
-    right = [rows[i]["predicted"] == q for i, q in labels if rows[i]["held_out"]]
-    assert sum(right) >= 0.8 * len(right)
+
+
+def test_held_out_labels_are_told_apart(spark, tables):
+    """Over a table with some hundred of them: the order of the scores, and the smaller class."""
+    larger = os.path.join(os.path.dirname(tables), "sf0.01")
+    rows = {r["doc_id"]: r for r in queries.op8_quality(spark, larger if os.path.isdir(larger) else tables).collect()}
+    labels = spark.read.parquet(f"{larger if os.path.isdir(larger) else tables}/labels.parquet").collect()
+    found = [(rows[r["doc_id"]]["score"], rows[r["doc_id"]]["predicted"], r["quality"]) for r in labels if rows[r["doc_id"]]["held_out"]]
+    good, bad = ([f for f in found if f[2] == q] for q in (1, 0))
+    assert min(len(good), len(bad)) >= 5
+    auc = sum((g[0] > b[0]) + 0.5 * (g[0] == b[0]) for g in good for b in bad) / (len(good) * len(bad))
+    assert auc >= 0.97
+    for q, rows_of in ((1, good), (0, bad)):
+        assert sum(f[1] == q for f in rows_of) >= 0.9 * len(rows_of)
+
+
+def test_repeated_documents_train_once(spark):
+    docs = spark.createDataFrame([(i % 40, f"word {i % 40} and more" * (1 + i % 3)) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 2, "doc_id long, quality int")
+    x, y = quality.sample(docs, labels)
+    assert len(x) == len(y) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(40))
 
 
 def test_empty_tables(spark):

@@ -54,6 +54,18 @@ TEMPLATES = [
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("all rights reserved", "all-rights-reserved"),
+    ("under the terms of the gnu lesser general public license as published by the free software foundation", "lgpl"),
+    ("under the terms of the gnu affero general public license as published by the free software foundation", "agpl-3.0"),
+    ("under the terms of the gnu free documentation license version 1 3 or any later version published by the free software foundation", "gfdl-1.3"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "epl-2.0"),
+    ("licensed under the eupl version 1 2 or as soon they will be approved by the european commission subsequent versions of the eupl", "eupl-1.2"),
+    ("the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", "cc0-1.0"),
+    ("this work is licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa-4.0"),
+    ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", "cc-by-nc-4.0"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit-conditions"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd-3-clause"),
+    ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "zlib"),
+    ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software", "bsl-1.0"),
 ]
 
 #: A diagonal of a template counts with so many votes, neighbours merge up to so many words apart, and a span needs such a share of the template's pairs.

@@ -17,7 +17,8 @@ without labels of both kinds every score is the share of label 1, or 1 if there
 is no label at all; repeated rows are scored as often as they come, and repeated
 labels count once; an empty table gives an empty result; further columns pass
 through, but for `score`, `predicted` and those beginning with `_` that are used
-on the way (`_text`, `_counts`, `_features`). The id is the documents' key.
+on the way (`_text`, `_counts`, `_features`). Of documents that share an id, the
+one of the least features trains.
 """
 
 from __future__ import annotations
@@ -215,7 +216,8 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scale = 1_000_000
     chosen = usable.filter(F.pmod(F.xxhash64(F.lit(SEED), "_id"), F.lit(scale)) < int(scale * min(1.0, bound / total)))
     joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
-    rows = with_features(joined, "text").select("_id", "_label", "_features.*").toPandas()
+    # of documents that share an id, one: else their number, not the bound, would size the sample
+    rows = with_features(joined, "text").groupBy("_id", "_label").agg(F.min("_features").alias("_features")).select("_id", "_label", "_features.*").toPandas()
     rows = rows.sort_values([*NAMES, "_label"], kind="stable")
     return rows[NAMES].to_numpy(dtype=float), rows["_label"].to_numpy(dtype=float)
 

@@ -69,12 +69,17 @@ HOT = 1000
 def joined(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
     """rows joined to keyed, which holds each key once with the number of its rows in `count`, of `total` in all.
 
-    Rows of hot keys stay where they are: fewer than `HOT` rows of keyed are
-    broadcast to them. The other rows are shuffled, and no key is much of them.
+    Fewer than `HOT` rows of keyed, those of hot keys, are broadcast; rows that
+    meet one go anywhere in the shuffle for the others, so no key is much of a
+    task. The last key must be a long.
     """
-    hot, cold = keyed.filter(F.col(count) * HOT > total), keyed.filter(F.col(count) * HOT <= total)
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
+    values = [c for c in keyed.columns if c not in keys]
+    hot = keyed.filter(F.col(count) * HOT > total).select(*keys, F.struct(*values).alias("_hot"))
+    cold = keyed.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct(*values).alias("_cold"))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    spread = [F.col(k) for k in keys[:-1]] + [F.when(F.col("_hot").isNotNull(), F.xxhash64(*rows.columns)).otherwise(F.col(keys[-1]))]
+    met = marked.join(cold, [s == F.col(f"_{k}") for k, s in zip(keys, spread, strict=True)], "left").withColumn("_found", F.coalesce("_hot", "_cold"))
+    return met.filter(F.col("_found").isNotNull()).select(*rows.columns, *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -128,11 +128,11 @@ def packed_sets(docs: DataFrame, wanted: DataFrame, text_col: str, shingle_words
 
 def links(docs: DataFrame, found: DataFrame, text_col: str, shingle_words: int, least: float, pair_limit: int) -> DataFrame:
     """Edges (a, b) between the fingerprints of texts whose shingle sets are similar."""
-    prints = found.groupBy("same", "fingerprint").agg(F.min(F.struct("text_key", "size", "keys")).alias("c"))
-    classes = cut(prints.groupBy("same").agg(F.min(F.struct("c.text_key", "fingerprint", "c.size", "c.keys")).alias("c"), F.count(F.lit(1)).alias("prints")).select("same", "prints", "c.*"))
+    least_text = F.min(F.struct("text_key", "fingerprint", "size", "keys")).alias("c")
+    classes = cut(found.groupBy("same").agg(least_text, F.count(F.lit(1)).alias("rows"), (F.min("fingerprint") != F.max("fingerprint")).alias("several")).select("same", "rows", "several", "c.*"))
     # equal shingle sets whose fingerprints differ, for repeats count in these
-    several = classes.filter("prints > 1").select("same", F.col("fingerprint").alias("b"))
-    copies = prints.select("same", F.col("fingerprint").alias("a")).join(several, "same").select("a", "b").filter("a <> b")
+    several = classes.filter("several").select("same", "rows", F.col("fingerprint").alias("b"))
+    copies = joined(found.select("same", F.col("fingerprint").alias("a")), several, ["same"], "rows", found.count()).select("a", "b").filter("a <> b")
 
     rows = classes.select(F.explode("keys").alias("key"), "text_key", "fingerprint", "size")
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("shingles")).filter("members > 1")
@@ -151,18 +151,19 @@ def links(docs: DataFrame, found: DataFrame, text_col: str, shingle_words: int,
 
     hot = shared.filter(F.col("members") > pair_limit).select("key", "text_key", "fingerprint", "members", "shingles")
     leaders = hot.groupBy("key").agg(F.min(F.struct(F.xxhash64("text_key").alias("hash"), F.col("text_key").alias("x"), F.col("fingerprint").alias("a"))).alias("l"), F.count(F.lit(1)).alias("n")).select("key", "l.x", "l.a", "n")
-    led = cut(joined(hot, leaders, ["key"], "n", hot.count()))
+    n_hot = hot.count()
+    led = cut(joined(hot, leaders, ["key"], "n", n_hot).drop("n"))
     met = led.filter("x <> text_key").select("x", "a", F.col("text_key").alias("y"), F.col("fingerprint").alias("b")).distinct()
     # a leader may have a third of all members: its set is copied to as many places as they are dealt to, HOT more than leaders in all
-    n_met = met.count()
-    weights = met.groupBy("x").agg(F.count(F.lit(1)).alias("n")).withColumn("places", F.ceil(F.col("n") * HOT / F.lit(max(n_met, 1))))
-    placed = joined(met, weights, ["x"], "n", n_met).withColumn("place", F.pmod(F.xxhash64("y"), F.col("places")))
+    weights = met.groupBy("x").agg(F.count(F.lit(1)).alias("n")).withColumn("places", F.ceil(F.col("n") * HOT / F.lit(max(n_hot, 1))))
+    placed = joined(met, weights, ["x"], "n", n_hot).withColumn("place", F.pmod(F.xxhash64("y"), F.col("places")))
     copied = weights.select("x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("places") - 1)).alias("place")).join(side("x", "left"), "x")
     attached = cut(verified(placed.join(side("y", "right"), "y").join(copied, ["x", "place"]), least))
 
-    apart = led.filter("x <> text_key").join(attached.select("x", F.col("y").alias("text_key")), ["x", "text_key"], "left_anti").select("key", "text_key").withColumn("apart", F.lit(True))
-    open_keys = apart.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    todo = joined(led.drop("n"), open_keys, ["key"], "n", led.count()).join(apart, ["key", "text_key"], "left").withColumn("apart", F.coalesce("apart", F.lit(False)))
+    met_leader = attached.select("x", F.col("y").alias("text_key"), F.lit(True).alias("met"))
+    flagged = led.join(met_leader, ["x", "text_key"], "left").withColumn("apart", (F.col("x") != F.col("text_key")) & F.col("met").isNull()).drop("met")
+    open_keys = flagged.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bool_or("apart").alias("any")).filter("any").drop("any")
+    todo = joined(flagged, open_keys, ["key"], "n", n_hot)
     # a power of two, so that keys of about the same texts make about the same blocks and stars
     blocks = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)))).cast("bigint")
     dealt = todo.withColumn("block", F.pmod(F.xxhash64("text_key"), F.greatest(blocks, F.lit(1)))).join(sets, "text_key")

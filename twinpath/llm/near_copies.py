@@ -136,7 +136,7 @@ def links(docs: DataFrame, found: DataFrame, text_col: str, shingle_words: int,
 
     rows = classes.select(F.explode("keys").alias("key"), "text_key", "fingerprint", "size")
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("shingles")).filter("members > 1")
-    shared = cut(joined(rows, sizes, ["key"], "members", classes.count() * BANDS))
+    shared = cut(rows.join(sizes, "key"))  # nothing needs this join's partitioning, so a hot key's rows may be split at run time
     sets = cut(packed_sets(docs, shared.select("text_key").distinct(), text_col, shingle_words))
 
     members = F.array_sort(F.collect_list(F.struct("text_key", "fingerprint", "size")))

@@ -97,9 +97,9 @@ def stars(edges: Iterator[tuple[int, int]]) -> set[tuple[int, int]]:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
-    """(id, text_key, fingerprint, same, size, keys) of each row; same is a digest of the shingle set."""
-    narrow = docs.select(F.col(id_col), text_of(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    schema = T.StructType([narrow.schema[id_col], *(T.StructField(n, T.LongType()) for n in ("text_key", "fingerprint", "same", "size")), T.StructField("keys", T.ArrayType(T.LongType()))])
+    """(id, text_key, row_key, fingerprint, same, size, keys) of each row; same is a digest of the shingle set."""
+    narrow = keyed_texts(docs, id_col, text_col)
+    schema = T.StructType([narrow.schema[id_col], *(T.StructField(n, T.LongType()) for n in ("text_key", "row_key", "fingerprint", "same", "size")), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -107,16 +107,21 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) ->
             sets = [shingle_set(x, shingle_words) for x in texts]
             prints = np.array([simhash.fingerprint(x, shingle_words) for x in texts], dtype="<u8").view("<i8")
             same = np.array([xxhash.xxh64_intdigest(s.tobytes(), simhash.SEED) for s in sets], dtype="<u8").view("<i8")
-            columns = [batch.column(0), batch.column(2), pa.array(prints), pa.array(same), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(keys_of, sets)), pa.list_(pa.int64()))]
+            columns = [batch.column(0), batch.column(2), batch.column(3), pa.array(prints), pa.array(same), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(keys_of, sets)), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return bounded(narrow).mapInArrow(kernel, schema)
 
 
-def packed_sets(docs: DataFrame, wanted: DataFrame, text_col: str, shingle_words: int) -> DataFrame:
-    """(text_key, packed) of the texts whose keys are wanted."""
-    texts = docs.select(text_of(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    narrow = texts.join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"]).select("text_key", "text")
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, text_key, row_key): hashes of the text, and of the id and the text."""
+    texts = docs.select(F.col(id_col), text_of(text_col).alias("text"))
+    return texts.withColumn("text_key", F.xxhash64("text")).withColumn("row_key", F.xxhash64(id_col, "text"))
+
+
+def packed_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
+    """(text_key, packed) of the texts whose row keys are wanted: by these, copies of a text don't meet in one task."""
+    narrow = keyed_texts(docs, id_col, text_col).join(wanted, "row_key", "left_semi").dropDuplicates(["row_key"]).select("text_key", "text")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -126,18 +131,18 @@ def packed_sets(docs: DataFrame, wanted: DataFrame, text_col: str, shingle_words
     return bounded(narrow).mapInArrow(kernel, "text_key long, packed binary")
 
 
-def links(docs: DataFrame, found: DataFrame, text_col: str, shingle_words: int, least: float, pair_limit: int) -> DataFrame:
+def links(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, shingle_words: int, least: float, pair_limit: int) -> DataFrame:
     """Edges (a, b) between the fingerprints of texts whose shingle sets are similar."""
-    least_text = F.min(F.struct("text_key", "fingerprint", "size", "keys")).alias("c")
+    least_text = F.min(F.struct("text_key", "row_key", "fingerprint", "size", "keys")).alias("c")
     classes = cut(found.groupBy("same").agg(least_text, F.count(F.lit(1)).alias("rows"), (F.min("fingerprint") != F.max("fingerprint")).alias("several")).select("same", "rows", "several", "c.*"))
     # equal shingle sets whose fingerprints differ, for repeats count in these
     several = classes.filter("several").select("same", "rows", F.col("fingerprint").alias("b"))
     copies = joined(found.select("same", F.col("fingerprint").alias("a")), several, ["same"], "rows", found.count()).select("a", "b").filter("a <> b")
 
-    rows = classes.select(F.explode("keys").alias("key"), "text_key", "fingerprint", "size")
+    rows = classes.select(F.explode("keys").alias("key"), "text_key", "row_key", "fingerprint", "size")
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("shingles")).filter("members > 1")
     shared = cut(rows.join(sizes, "key"))  # nothing needs this join's partitioning, so a hot key's rows may be split at run time
-    sets = cut(packed_sets(docs, shared.select("text_key").distinct(), text_col, shingle_words))
+    sets = cut(packed_sets(docs, shared.select("row_key").distinct(), id_col, text_col, shingle_words))
 
     members = F.array_sort(F.collect_list(F.struct("text_key", "fingerprint", "size")))
     small = shared.filter(F.col("members") <= pair_limit).groupBy("key").agg(members.alias("all"))
@@ -198,6 +203,6 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     """(id, fingerprint, component_id) of each row; component_id is the smallest id of its group."""
     found = cut(sketches(docs, id_col, text_col, shingle_words))
     classes = simhash.classes_of(found, id_col)
-    similar_texts = cut(links(docs, found, text_col, shingle_words, least, pair_limit))
+    similar_texts = cut(links(docs, found, id_col, text_col, shingle_words, least, pair_limit))
     edges = cut(simhash.links(classes, max_bits, 3 * max_bits + 1, bucket_limit).unionByName(similar_texts))
     return simhash.named(found.select(id_col, "fingerprint"), classes, edges, id_col)

@@ -147,3 +147,15 @@ SQL["descriptors"] = f"SELECT vec_id // {VECTORS} AS recording, CASE WHEN vec_id
 def descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(recording, run, ordinal, v): vectors in two runs; two hundred make a recording, so a block of pairs is bounded."""
     return table(spark, sf_dir, "embeddings").selectExpr(f"vec_id div {VECTORS} AS recording", "CASE WHEN vec_id % 2 = 1 THEN 'runB' ELSE 'runA' END AS run", f"vec_id % {VECTORS} div 2 AS ordinal", "CAST(embedding AS array<double>) AS v")
+
+
+SQL["matched"] = """SELECT CAST(l_suppkey // 20 AS BIGINT) AS recording, CASE WHEN l_suppkey % 2 = 1 THEN 'cam5' ELSE 'cam0' END AS camera, CAST(l_orderkey % 24 AS BIGINT) AS a, CAST(l_orderkey % 24 + l_partkey % 7 - 3 AS BIGINT) AS b,
+  l_extendedprice % 896 AS ax, l_quantity * 13 % 672 AS ay, l_extendedprice % 896 + 4.5 * (l_partkey % 7 - 3) + ((l_linenumber * 5 + l_partkey) % 11 - 5) / 4.0 + (l_orderkey % 24) / 50.0 AS bx, l_quantity * 13 % 672 + ((l_partkey * 3) % 9 - 4) / 2.0 AS "by" FROM lineitem"""
+
+
+def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(recording, camera, a, b, ax, ay, bx, by): matched points of frame a of run A and frame b of run B; twenty suppliers make a recording."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_suppkey div 20 AS recording", "CASE WHEN l_suppkey % 2 = 1 THEN 'cam5' ELSE 'cam0' END AS camera", "l_orderkey % 24 AS a", "l_orderkey % 24 + l_partkey % 7 - 3 AS b",
+        "l_extendedprice % 896 AS ax", "l_quantity * 13 % 672 AS ay", "l_extendedprice % 896 + 4.5D * (l_partkey % 7 - 3) + ((l_linenumber * 5 + l_partkey) % 11 - 5) / 4.0D + (l_orderkey % 24) / 50.0D AS bx", "l_quantity * 13 % 672 + ((l_partkey * 3) % 9 - 4) / 2.0D AS by",
+    )

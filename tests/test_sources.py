@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinpath.sources import elementary, tables
+from twinpath.sources import artifacts, elementary, recordings, synthetic, tables
 from twinpath.streaming import audit
 
 
@@ -71,6 +72,58 @@ def test_pictures_in_display_order(spark, tmp_path):
     assert sum(r["units"] for r in elementary.unit_counts(spark, str(tmp_path)).collect()) == len(orders) + 2
 
 
+@pytest.mark.parametrize("size", [1, 7, 64, 1 << 20])
+def test_ranges_of_any_size_give_the_same_units(spark, tmp_path, size):
+    """Start codes, escapes and runs of zeros lie across ranges; a parameter set is longer than a slice's head."""
+    data = synthetic.stream(70) + b"\0" * 5 + synthetic.message_unit(700) + b"\0\0\0\1" + bytes([33 << 1, 1]) + bytes(range(1, 255)) * 3
+    (tmp_path / "a b%20.h265").write_bytes(data)
+    rows = [tuple(r) for r in elementary.unit_rows(spark, str(tmp_path), size).select("byte_offset", "byte_size", "head").orderBy("byte_offset").collect()]
+    starts = [m.start() for m in re.finditer(rb"\x00\x00\x01", data)]
+    whole = [data[a:b].rstrip(b"\0") if b < len(data) else data[a:b] for a, b in zip(starts, [*starts[1:], len(data)], strict=True)]
+    assert [r[:2] for r in rows] == [(a, len(u)) for a, u in zip(starts, whole, strict=True)]
+    assert all(bytes(r[2]) == u[3 : 3 + (elementary.SLICE_HEAD if u[3] >> 1 & 63 < 32 else len(u))] for r, u in zip(rows, whole, strict=True))
+    assert elementary.sei_name(bytes(rows[-2][2])) == "type_700"
+
+
+def test_layouts_and_versions(spark, tmp_path):
+    root = str(tmp_path)
+    (tmp_path / "runA").mkdir()
+    (tmp_path / "runA" / "cam0_20_yuv420p_output.hevc").write_bytes(b"x")
+    (tmp_path / "cam0_20_yuv420p_output (1).hevc").write_bytes(b"y")
+    (tmp_path / "cam0_20_yuv420p_output.hevc.timestamps (1).txt").write_text("1\n2\n")
+    assert recordings.source_path(spark, root, "runA", "cam0").endswith("/runA/cam0_20_yuv420p_output.hevc")
+    assert recordings.source_path(spark, root, "runB", "cam0").endswith("/cam0_20_yuv420p_output (1).hevc")
+    assert recordings.sidecar_path(spark, root, "runB", "cam0").endswith("timestamps (1).txt")
+    assert not recordings.source_available(spark, root, "runA", "cam5")
+    with pytest.raises(FileNotFoundError):
+        recordings.source_path(spark, root, "runA", "cam5")
+    with pytest.raises(ValueError):
+        recordings.candidates(root, "runC", "cam0")
+    with pytest.raises(FileNotFoundError):
+        artifacts.load(spark, root, "masks", "v1")
+    artifacts.stored(spark.range(3), root, "masks", "v1")
+    assert artifacts.stored(spark.range(9), root, "masks", "v1").count() == 3
+    assert artifacts.stored(spark.range(9), root, "masks", "v1", force=True).count() == 9
+    assert artifacts.load(spark, root, "masks", "v1", {"speed": "double"}).columns == ["id", "speed"]
+
+
+def test_refusals(spark, tmp_path):
+    (tmp_path / "one.txt").write_text("5\n")
+    with pytest.raises(Exception, match="too few timestamps"):
+        tables.timestamps(spark, str(tmp_path / "one.txt")).collect()
+    rows = spark.createDataFrame([(1, "a")], "k int, v string")
+    assert tables.keyed(rows, rows, ["k"]).count() == 1
+    with pytest.raises(Exception, match="wanted keys are not there"):
+        tables.keyed(rows, spark.createDataFrame([(2,)], "k int"), ["k"]).collect()
+    (tmp_path / "s.csv").write_text("run,camera,canonical_decoded_images\nrunA,cam0,5\n")
+    assert tables.stream_counts(spark, str(tmp_path / "s.csv"), [("runA", "cam0")]).count() == 1
+    with pytest.raises(Exception, match="unexpected or missing stream"):
+        tables.stream_counts(spark, str(tmp_path / "s.csv"), [("runA", "cam0"), ("runA", "cam5")]).collect()
+    (tmp_path / "a.rgb").write_bytes(bytes(60 * 3))
+    with pytest.raises(Exception, match="more than 2 frames"):
+        elementary.grey_frames(spark, str(tmp_path / "a.rgb"), 5, 4, capacity=2).collect()
+
+
 def test_raw_frames(spark, tmp_path):
     frames = np.zeros((3, 4, 5, 3), np.uint8)
     frames[1] = 100
@@ -99,7 +152,7 @@ def test_small_sources(spark, tmp_path):
     assert [tuple(r) for r in tables.strata(spark, str(tmp_path / "m.json")).collect()] == [("cam0", "q", "dark")]
     tables.write_json(spark, str(tmp_path / "o.json"), {"a": 1})
     assert json.loads((tmp_path / "o.json").read_text()) == {"a": 1}
-    tables.write_csv(spark.createDataFrame([(1, None)], "b int, a string"), str(tmp_path / "out"))
+    tables.write_csv(spark.createDataFrame([(1, None)], "b int, a string"), str(tmp_path / "out"), single=True)
     assert next((tmp_path / "out").glob("*.csv")).read_text() == "a,b\n,1\n"
     assert tables.file_digests(spark, str(tmp_path / "t.txt")).first()["bytes"] == 9
 

@@ -60,3 +60,19 @@ def histogram_text(counts: Column) -> Column:
 def digest(*values: Column, characters: int = 12) -> Column:
     """The first hex digits of the SHA-256 of values joined by line ends, nulls as empty text."""
     return F.substring(F.sha2(F.concat_ws("\n", *[F.coalesce(v.cast("string"), F.lit("")) for v in values]), 256), 1, characters)
+
+
+def cache_key(run: Column, camera: Column, width: Column, height: Column, source_digest: Column, colour: str) -> Column:
+    """The name of what is made from a source: it changes with the source, the raster and the colours."""
+    return F.concat_ws("_", run, camera, F.substring(source_digest, 1, 12), F.concat(width.cast("string"), F.lit("x"), height.cast("string")), F.lit(colour))
+
+
+def mapping_suffix(motion: Column, loops: Column, speed: Column, variant: Column, usual: str) -> Column:
+    """What names a variant of the posterior: the channels that it lacks, those that it adds, an unusual way to motion."""
+    part = lambda condition, text: F.when(condition, text).otherwise("")
+    return F.concat(part(~motion, "_no_motion"), part(~loops, "_no_loop"), part(speed, "_speed"), F.when(motion & (variant != usual), F.concat(F.lit("_motion-"), variant)).otherwise(""))
+
+
+def mode_suffix(mode: Column, usual: str) -> Column:
+    """The usual mode has plain names."""
+    return F.when(mode == usual, "").otherwise(F.concat(F.lit("_"), mode))

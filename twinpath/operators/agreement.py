@@ -56,3 +56,8 @@ def ladder(refusals: list[tuple[str, Column]], accepted: str = "accepted") -> Co
         return F.lit(accepted)
     (name, condition), *rest = refusals
     return reduce(lambda chain, r: chain.when(r[1], r[0]), rest, F.when(condition, name)).otherwise(accepted)
+
+
+def partner_places(mapping: DataFrame, columns: DataFrame, keys: list[str], partner: str, place: str) -> DataFrame:
+    """mapping with the place of each partner among columns (keys, partner, place), -1 where there is none."""
+    return mapping.join(columns.select(*keys, partner, place), [*keys, partner], "left").withColumn(place, F.coalesce(place, F.lit(-1)))

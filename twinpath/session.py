@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -25,6 +27,20 @@ def local(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     return builder.config(map=settings | conf).getOrCreate()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that the driver and all executors see, deleted when the application ends: below spark.checkpoint.dir, or a temporary one where all of Spark is one process."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="twinpath-")
+    folder = sc._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}-{uuid.uuid4().hex}")
+    fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.deleteOnExit(folder)
+    return fs.makeQualified(folder).toString()
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors, unless their PYTHONPATH leads to it.
 

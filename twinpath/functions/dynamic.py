@@ -234,15 +234,18 @@ def vlad(tokens: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def farthest_first(values: np.ndarray) -> list[int]:
-    """The distinct values, each farthest from those before it; the first is the smallest, and of equals the smaller comes first."""
+    """The distinct values, each farthest from those before it; the first is the one nearest to the middle of their range, and of equals the smaller comes first."""
     rest = np.unique(np.asarray(values, dtype=np.int64))
-    distance = np.full(len(rest), np.inf)
     order: list[int] = []
-    for _ in range(len(rest)):
+    if not len(rest):
+        return order
+    best = int(np.argmin(np.abs(2 * rest - (rest[0] + rest[-1]))))
+    distance = np.abs(rest - rest[best])
+    order.append(int(rest[best]))
+    for _ in range(len(rest) - 1):
         best = int(np.argmax(distance))
         order.append(int(rest[best]))
-        distance = np.where(distance >= 0, np.minimum(distance, np.abs(rest - rest[best])), distance)
-        distance[best] = -1
+        distance = np.minimum(distance, np.abs(rest - rest[best]))
     return order
 
 

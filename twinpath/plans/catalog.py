@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, tuple[Query, str | None]] = {}
 #: Modules that register their queries when they are imported.
-MODULES = ("profiles", "sequences", "joins", "scores", "similarities", "contracts", "kernels", "pictures", "stored")
+MODULES = ("profiles", "sequences", "joins", "scores", "similarities", "contracts", "kernels", "pictures", "stored", "walks")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

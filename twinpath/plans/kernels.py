@@ -9,7 +9,6 @@ from ..operators import alignment, kernels
 from ..sources import adapter
 from ..sources.adapter import PAIR, STREAM, with_sql
 from .catalog import query
-from .similarities import own
 
 PAIR_SCHEMA = "recording long, camera string"
 STREAM_SCHEMA = "recording long, run string, camera string"
@@ -21,12 +20,6 @@ def dtw_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.dtw(adapter.frames(spark, sf_dir), PAIR, PAIR_SCHEMA, "luma")
 
 
-@query()
-def ratchet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Refinement behind a non-decreasing floor."""
-    return kernels.refined(adapter.frames(spark, sf_dir), PAIR, PAIR_SCHEMA, "luma", "ratchet")
-
-
 @query()
 def viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Refinement by the best sequence of bounded steps."""
@@ -66,25 +59,12 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.stratified_sample(f, STREAM, STREAM_SCHEMA, "ordinal", "blocked", 10, 5, 20260902)
 
 
-@query()
-def farthest_point_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled frames, each farthest from those before it."""
-    return kernels.farthest_first(adapter.labels(spark, sf_dir), PAIR, PAIR_SCHEMA, "runA_frame")
-
-
 @query()
 def bootstrap_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median luma with a seeded interval."""
     return kernels.bootstrap_median(adapter.frames(spark, sf_dir), STREAM, STREAM_SCHEMA, "luma")
 
 
-@query()
-def revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distant look-alikes of run A, thinned greedily."""
-    pairs = own(spark, sf_dir).filter("b - a >= 20 AND s >= 0.1")
-    return kernels.thinned(pairs, ["recording"], "recording long", 15, 40)
-
-
 @query()
 def geometry_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Support of matched points for one projective map, for each supplier: a map plus outliers, by arithmetic."""

@@ -134,13 +134,16 @@ def margins(similarity: np.ndarray, path: list[tuple[int, int]], radii: tuple[in
     return found
 
 
-def forward_backward(emission: np.ndarray, absent: float, kernel: tuple[float, ...] = KERNEL, leave: float = LEAVE, back: float = RETURN) -> tuple[np.ndarray, np.ndarray]:
+def forward_backward(emission: np.ndarray, absent: float | np.ndarray, kernel: tuple[float, ...] = KERNEL, leave: float = LEAVE, back: float = RETURN) -> tuple[np.ndarray, np.ndarray]:
     """Posteriors of the mapped states and of the absent ones, of a chain that steps by the kernel.
 
     Every column has a mapped and an absent flavour: the absent one remembers
-    where the mapping left off. Each row sums to 1 over both.
+    where the mapping left off. absent is its emission, one for all rows or one
+    for each: what an arbitrary column would have emitted. Each row sums to 1
+    over both.
     """
     rows, columns = emission.shape
+    absent = np.broadcast_to(np.asarray(absent, dtype=float), rows)
     steps = np.asarray(kernel) / np.sum(kernel)
 
     def forth(x: np.ndarray) -> np.ndarray:
@@ -150,20 +153,20 @@ def forward_backward(emission: np.ndarray, absent: float, kernel: tuple[float, .
         return np.convolve(x[::-1], steps)[:columns][::-1]
 
     mapped, gone = np.zeros((rows, columns)), np.zeros((rows, columns))
-    mapped[0], gone[0] = emission[0] / columns * (1 - leave), np.full(columns, absent / columns * leave)
+    mapped[0], gone[0] = emission[0] / columns * (1 - leave), np.full(columns, absent[0] / columns * leave)
     scale = np.ones(rows)
     for i in range(rows):
         if i:
             moved_m, moved_g = forth(mapped[i - 1]), forth(gone[i - 1])
             mapped[i] = emission[i] * ((1 - leave) * moved_m + back * moved_g)
-            gone[i] = absent * (leave * moved_m + (1 - back) * moved_g)
+            gone[i] = absent[i] * (leave * moved_m + (1 - back) * moved_g)
         scale[i] = mapped[i].sum() + gone[i].sum() or 1.0
         mapped[i] /= scale[i]
         gone[i] /= scale[i]
     beta_m, beta_g = np.ones(columns), np.ones(columns)
     post_m, post_g = mapped.copy(), gone.copy()
     for i in range(rows - 2, -1, -1):
-        next_m, next_g = aft(emission[i + 1] * beta_m), aft(absent * beta_g)
+        next_m, next_g = aft(emission[i + 1] * beta_m), aft(absent[i + 1] * beta_g)
         beta_m, beta_g = ((1 - leave) * next_m + leave * next_g) / scale[i + 1], (back * next_m + (1 - back) * next_g) / scale[i + 1]
         post_m[i], post_g[i] = mapped[i] * beta_m, gone[i] * beta_g
     total = (post_m.sum(axis=1) + post_g.sum(axis=1))[:, None]
@@ -199,6 +202,33 @@ def closed(emission: np.ndarray, posterior: np.ndarray, pairs: list[tuple[int, i
     return raised
 
 
+def event_channel(rows: np.ndarray, columns: np.ndarray, events_a: np.ndarray, events_b: np.ndarray, ratio: float = 2.5, radius: int = 5) -> np.ndarray:
+    """`ratio` where a row and a column both lie within `radius` of an event of their run, else 1."""
+    near = lambda at, events: (np.abs(at[:, None] - events[None, :]) <= radius).any(axis=1) if len(events) else np.zeros(len(at), dtype=bool)
+    return np.where(near(rows, np.asarray(events_a))[:, None] & near(columns, np.asarray(events_b))[None, :], ratio, 1.0)
+
+
+def speed_channel(a: np.ndarray, b: np.ndarray, partners: np.ndarray, bins: int = 6, exponent: float = 0.5, low: float = 0.25, high: float = 4.0) -> np.ndarray:
+    """How much likelier the bins of two speeds meet along the partners than by chance, tempered and clipped; every pair of bins is seen once more than it is."""
+    edges = np.quantile(np.concatenate([a, b]), np.linspace(0, 1, bins + 1)[1:-1])
+    of_a, of_b = np.searchsorted(edges, a, "right"), np.searchsorted(edges, b, "right")
+    joint = np.ones((bins, bins))
+    np.add.at(joint, (of_a, of_b[partners]), 1)
+    ratio = joint * joint.sum() / (joint.sum(axis=1, keepdims=True) * joint.sum(axis=0, keepdims=True))
+    return np.clip(ratio**exponent, low, high)[of_a[:, None], of_b[None, :]]
+
+
+def structure_channel(a: np.ndarray, b: np.ndarray, peaks: np.ndarray, band: int = 8, scale: float = 0.8, clip: float = 3.0) -> np.ndarray:
+    """Standardised likeness of the columns in a band about each row's peak, as multipliers; 1 elsewhere."""
+    found = np.ones((len(a), len(b)))
+    for i, peak in enumerate(peaks):
+        at = np.arange(max(peak - band, 0), min(peak + band, len(b) - 1) + 1)
+        s = -np.abs(a[i] - b[at])
+        if len(at) >= 3 and s.std() > 0:
+            found[i, at] = np.exp(scale * np.clip((s - s.mean()) / s.std(), -clip, clip))
+    return found
+
+
 def spherical_kmeans(samples: np.ndarray, k: int, iterations: int = 25, seed: int = 0) -> np.ndarray:
     """Unit centres by k-means++ seeding and Lloyd's steps on the sphere; an empty cluster takes the sample farthest from its centre."""
     rng = np.random.default_rng(seed)

@@ -140,24 +140,61 @@ def homography(p: np.ndarray, q: np.ndarray) -> np.ndarray | None:
     return vt[-1].reshape(3, 3) if s[7] > 1e-9 else None
 
 
-def agreeing(p: np.ndarray, q: np.ndarray, trials: int = 750, pixels: float = 3.0, seed: int = 42) -> np.ndarray:
-    """Matches that agree with the best projective map of seeded samples of four."""
+def fundamental(p: np.ndarray, q: np.ndarray) -> np.ndarray | None:
+    """The epipolar map between p and q by eight or more matches, centred and scaled for the fit, or None where there is none."""
+
+    def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        middle = x.mean(axis=0)
+        spread = np.sqrt(((x - middle) ** 2).sum(axis=1).mean() / 2)
+        if spread < 1e-12:
+            return x, np.zeros((3, 3))
+        t = np.array([[1 / spread, 0, -middle[0] / spread], [0, 1 / spread, -middle[1] / spread], [0, 0, 1]])
+        return (x - middle) / spread, t
+
+    (a, ta), (b, tb) = scaled(p), scaled(q)
+    if not ta.any() or not tb.any():
+        return None
+    rows = np.column_stack([b[:, 0] * a[:, 0], b[:, 0] * a[:, 1], b[:, 0], b[:, 1] * a[:, 0], b[:, 1] * a[:, 1], b[:, 1], a[:, 0], a[:, 1], np.ones(len(a))])
+    u, s, vt = np.linalg.svd(np.linalg.svd(rows)[2][-1].reshape(3, 3))
+    return tb.T @ (u * [s[0], s[1], 0]) @ vt @ ta
+
+
+def mapping_errors(h: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Pixels between q and where a projective map sends p."""
+    mapped = np.column_stack([p, np.ones(len(p))]) @ h.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.linalg.norm(mapped[:, :2] / mapped[:, 2:] - q, axis=1)
+
+
+def epipolar_errors(f: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Sampson's distance of matches from an epipolar map."""
+    one = np.ones(len(p))
+    a, b = np.column_stack([p, one]), np.column_stack([q, one])
+    right, left = a @ f.T, b @ f
+    slope = np.sqrt(right[:, 0] ** 2 + right[:, 1] ** 2 + left[:, 0] ** 2 + left[:, 1] ** 2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.abs((b * right).sum(axis=1)) / slope
+
+
+#: The models of a pair of images with the matches that one takes and the pixels that a match may be off.
+MODELS = ((fundamental, epipolar_errors, 8, 1.5), (homography, mapping_errors, 4, 3.0))
+
+
+def agreeing(p: np.ndarray, q: np.ndarray, trials: int = 750, seed: int = 42, models: tuple = MODELS) -> np.ndarray:
+    """Matches that agree with the better of the models, each the best of seeded samples; the first of equals."""
     best = np.zeros(len(p), dtype=bool)
-    if len(p) < 4:
-        return best
-    rng = np.random.default_rng(seed)
-    ones = np.column_stack([p, np.ones(len(p))])
-    for _ in range(trials):
-        pick = rng.choice(len(p), 4, replace=False)
-        h = homography(p[pick], q[pick])
-        if h is None:
+    for fit, errors, size, pixels in models:
+        if len(p) < size:
             continue
-        mapped = ones @ h.T
-        with np.errstate(divide="ignore", invalid="ignore"):
-            error = np.linalg.norm(mapped[:, :2] / mapped[:, 2:] - q, axis=1)
-        inside = error <= pixels
-        if inside.sum() > best.sum():
-            best = inside
+        rng = np.random.default_rng(seed)
+        for _ in range(trials):
+            pick = rng.choice(len(p), size, replace=False)
+            model = fit(p[pick], q[pick])
+            if model is None:
+                continue
+            inside = errors(model, p, q) <= pixels
+            if inside.sum() > best.sum():
+                best = inside
     return best
 
 

@@ -50,18 +50,29 @@ def align(frames: DataFrame, keys: list[str], key_schema: str, value: str, block
     return filled.select(*keys, "runA_frame", "estimate", "candidate", "tier", F.when(F.col("bridged"), "bridged").otherwise(F.col("status")).alias("status"), "runB_frame", "bridged")
 
 
-def closed_posterior(frames: DataFrame, keys: list[str], key_schema: str, value: str, stride: int = 4, rounds: int = 2, separation: int = 40, least: float = 0.97, most: int = 40) -> DataFrame:
-    """(keys, row, column, window, absent, accepted, revisits): the posterior after loop closure.
-
-    Distant rows of run A that look alike are one place; each passes on, through
-    the kernel of columns of run B that look alike, where its partner was found.
+def closed_posterior(frames: DataFrame, keys: list[str], key_schema: str, value: str, stride: int = 4, rounds: int = 2, separation: int = 40, least: float = 0.97, most: int = 40, events: DataFrame | None = None, speed: str | None = None, structure: bool = False) -> DataFrame:
+    """(keys, row, column, window, absent, accepted, revisits): the posterior with its channels, after loop closure.
+
+    events: (keys, run, event); where both runs have one nearby, the evidence is
+    multiplied. speed: a measure of each frame; the evidence is multiplied by how
+    much likelier the bins of two frames meet than by chance along the first
+    posterior's peaks. Then distant rows of run A that look alike are one place;
+    each passes on, through the kernel of columns of run B that look alike, where
+    its partner was found. structure: a last pass weighs the frames in a band
+    about each peak by their own likeness.
     """
+    rows_of, with_events = kernels.two_runs(frames, keys, value), events is not None
+    if speed:
+        rows_of = rows_of.unionByName(kernels.two_runs(frames, keys, speed).withColumn("run", F.concat(F.lit("speed "), "run")))
+    if with_events:
+        rows_of = rows_of.unionByName(events.select(*keys, F.concat(F.lit("event "), "run").alias("run"), F.col("event").alias("ordinal"), F.lit(1.0).alias("value")))
 
     def kernel(pdf: pd.DataFrame) -> dict:
         a, b = kernels.split(pdf)
         names = ("row", "column", "window", "absent", "accepted", "revisits")
         if not len(a) or not len(b):
             return {n: [] for n in names}
+        of = lambda kind, run: pdf[pdf["run"] == f"{kind} {run}"].sort_values("ordinal")
         own = kernels.smooth_similarity(a, a, stride)
         i, j = np.nonzero(np.triu(own >= least, separation))
         pairs = dynamic.thinned([(int(x), int(y), float(own[x, y])) for x, y in zip(i, j, strict=True)], 15, most)
@@ -70,14 +81,23 @@ def closed_posterior(frames: DataFrame, keys: list[str], key_schema: str, value:
         same = np.where((other >= cut) & (other > 0.88), other, 0.0)
         same /= np.maximum(same.sum(axis=1, keepdims=True), 1e-12)
         emission = kernels.emission_of(a, b, stride)
-        mapped, gone = dynamic.forward_backward(emission, 1.0)
+        if with_events:
+            emission = emission * dynamic.event_channel(*(np.arange(n) * stride for n in emission.shape), *(of("event", run)["ordinal"].to_numpy() for run in ("runA", "runB")))
+        solve = lambda e: dynamic.forward_backward(e, e.mean(axis=1))
+        mapped, gone = solve(emission)
+        if speed:
+            emission = emission * dynamic.speed_channel(*(of("speed", run)["value"].to_numpy(float)[::stride] for run in ("runA", "runB")), mapped.argmax(axis=1))
+            mapped, gone = solve(emission)
         for _ in range(rounds if pairs else 0):
-            mapped, gone = dynamic.forward_backward(dynamic.closed(emission, mapped, [(x, y) for x, y, _ in pairs], same), 1.0)
+            emission = dynamic.closed(emission, mapped, [(x, y) for x, y, _ in pairs], same)
+            mapped, gone = solve(emission)
+        if structure:
+            mapped, gone = solve(emission * dynamic.structure_channel(a[::stride], b[::stride], mapped.argmax(axis=1)))
         peak = mapped.argmax(axis=1)
         window, absent = dynamic.window_mass(mapped, peak), gone.sum(axis=1)
         return dict(zip(names, (np.arange(len(mapped)) * stride, peak * stride, window, absent, (absent <= 0.05) & (window >= 0.30), np.full(len(mapped), len(pairs))), strict=True))
 
-    return kernels.per_group(kernels.two_runs(frames, keys, value), keys, f"{key_schema}, row long, column long, window double, absent double, accepted boolean, revisits long", kernel)
+    return kernels.per_group(rows_of, keys, f"{key_schema}, row long, column long, window double, absent double, accepted boolean, revisits long", kernel)
 
 
 def corrected(mapping: DataFrame, keys: list[str], shift: Column, rate: Column, most: int = 10, least_rate: float = 2.0) -> DataFrame:

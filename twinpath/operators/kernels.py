@@ -85,7 +85,8 @@ def posterior(frames: DataFrame, keys: list[str], key_schema: str, value: str, s
         a, b = split(pdf)
         if not len(a) or not len(b):
             return {"row": [], "column": [], "window": [], "absent": [], "accepted": []}
-        mapped, gone = dynamic.forward_backward(emission_of(a, b, stride), 1.0)
+        emission = emission_of(a, b, stride)
+        mapped, gone = dynamic.forward_backward(emission, emission.mean(axis=1))
         peak = mapped.argmax(axis=1)
         window, absent = dynamic.window_mass(mapped, peak), gone.sum(axis=1)
         return {"row": np.arange(len(mapped)) * stride, "column": peak * stride, "window": window, "absent": absent, "accepted": (absent <= most_absent) & (window >= least_window)}
@@ -106,29 +107,59 @@ def uniqueness(frames: DataFrame, keys: list[str], key_schema: str, value: str,
     return per_group(two_runs(frames, keys, value), keys, f"{key_schema}, row long, column long, margins array<double>", kernel)
 
 
-def holdout(frames: DataFrame, keys: list[str], key_schema: str, value: str, widths: tuple[int, ...] = (15, 30), holes: int = 2, guard: int = 3, seed: int = 20260902, stride: int = 4) -> DataFrame:
-    """(keys, width, hole, orphaned, detected, unaffected, false_alarms): absence seen where evidence was taken away, and elsewhere."""
+def partners_of(mapping: DataFrame, keys: list[str]) -> DataFrame:
+    """A mapping's partners in the form of `two_runs`, as the run `mapped`."""
+    return mapping.filter(F.col("runB_frame").isNotNull()).select(*keys, F.lit("mapped").alias("run"), F.col("runA_frame").alias("ordinal"), F.col("runB_frame").cast("double").alias("value"))
+
+
+TRIAL = ("width", "low", "orphaned", "unaffected", "abstained_orphaned", "abstained_unaffected", "self_abstained_orphaned", "median_absent_orphaned", "median_absent_unaffected")
+
+
+def holdout(frames: DataFrame, mapping: DataFrame, keys: list[str], key_schema: str, value: str, widths: tuple[int, ...] = (60, 150, 400), holes: int = 3, edge: int = 250, guard: int = 10, seed: int = 20260902, stride: int = 1, least_window: float = 0.30, most_absent: float = 0.05) -> DataFrame:
+    """(keys, width, low, orphaned, unaffected, shares that abstained, medians of absence) of each hole in run B.
+
+    Seeded holes keep `edge` frames from the ends. What a hole orphans, and what
+    it can't touch, is told by another method's mapping, `guard` frames from its
+    bounds; the model's own opinion is given beside it. Holes that orphan fewer
+    than five rows, and widths that don't fit, are left out.
+    """
+    rows_of = two_runs(frames, keys, value).unionByName(partners_of(mapping, keys))
 
     def kernel(pdf: pd.DataFrame) -> dict:
         a, b = split(pdf)
         rows: list[tuple] = []
         if len(a) and len(b):
             emission = emission_of(a, b, stride)
-            peak = dynamic.forward_backward(emission, 1.0)[0].argmax(axis=1)
+            n, columns = emission.shape
+            own = dynamic.forward_backward(emission, emission.mean(axis=1))[0].argmax(axis=1)
+            other = np.full(n, -1)
+            for o, v in pdf.loc[pdf["run"] == "mapped", ["ordinal", "value"]].itertuples(index=False):
+                if o % stride == 0 and o // stride < n and 0 <= v // stride < columns:
+                    other[int(o // stride)] = int(v // stride)
             rng = np.random.default_rng(seed)
             for width in widths:
-                for hole in range(holes):
-                    if emission.shape[1] <= width + 2:
-                        continue
-                    low = int(rng.integers(1, emission.shape[1] - width))
-                    absent = dynamic.forward_backward(dynamic.with_hole(emission, low, low + width), 1.0)[1].sum(axis=1) > 0.5
-                    inside = (peak >= low) & (peak < low + width)
-                    clear = (peak < low - guard) | (peak >= low + width + guard)
-                    rows.append((width, hole, int(inside.sum()), int((inside & absent).sum()), int(clear.sum()), int((clear & absent).sum())))
-        names = ("width", "hole", "orphaned", "detected", "unaffected", "false_alarms")
-        return dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {n: [] for n in names}
-
-    return per_group(two_runs(frames, keys, value), keys, f"{key_schema}, width long, hole long, orphaned long, detected long, unaffected long, false_alarms long", kernel)
+                for _ in range(holes if columns - 2 * edge - width > 0 else 0):
+                    low = int(rng.integers(edge, columns - edge - width))
+                    high = low + width
+                    holed = dynamic.with_hole(emission, low, high)
+                    mapped, gone = dynamic.forward_backward(holed, holed.mean(axis=1))
+                    absent = gone.sum(axis=1)
+                    abstains = (absent > most_absent) | (dynamic.window_mass(mapped, mapped.argmax(axis=1)) < least_window)
+                    inside = lambda at: (at >= low + guard) & (at < high - guard)  # noqa: B023, E731
+                    clear = (other >= 0) & ((other < low - guard) | (other >= high + guard))
+                    orphaned = inside(other)
+                    if orphaned.sum() >= 5:
+                        share = lambda of: float(abstains[of].mean()) if of.any() else np.nan  # noqa: B023, E731
+                        rows.append((width, low * stride, int(orphaned.sum()), int(clear.sum()), share(orphaned), share(clear), share(inside(own)), float(np.median(absent[orphaned])), float(np.median(absent[clear])) if clear.any() else np.nan))
+        return dict(zip(TRIAL, zip(*rows, strict=True), strict=True)) if rows else {n: [] for n in TRIAL}
+
+    return per_group(rows_of, keys, f"{key_schema}, {', '.join(f'{n} long' for n in TRIAL[:4])}, {', '.join(f'{n} double' for n in TRIAL[4:])}", kernel)
+
+
+def holdout_rates(trials: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, width, trials, detection_rate, detection_rate_self, false_alarm_rate): the holes of each width together."""
+    mean = lambda c: F.avg(F.when(~F.isnan(c), F.col(c)))
+    return trials.groupBy(*keys, "width").agg(F.count(F.lit(1)).alias("trials"), mean("abstained_orphaned").alias("detection_rate"), mean("self_abstained_orphaned").alias("detection_rate_self"), mean("abstained_unaffected").alias("false_alarm_rate"))
 
 
 def vlad(tokens: DataFrame, keys: list[str], key_schema: str, order: str, vector: str, k: int = 4, seed: int = 0) -> DataFrame:
@@ -185,16 +216,15 @@ def thinned(pairs: DataFrame, keys: list[str], key_schema: str, apart: int = 60,
     return per_group(pairs.select(*keys, "a", "b", "s"), keys, f"{key_schema}, a long, b long, s double", kernel)
 
 
-def verified(points: DataFrame, keys: list[str], key_schema: str, trials: int = 200) -> DataFrame:
-    """(keys, matches, inliers, supported): matched points (ax, ay, bx, by) that one projective map explains."""
+def inlying(points: DataFrame, keys: list[str], key_schema: str, trials: int = 750) -> DataFrame:
+    """(keys, ax, ay, bx, by, inside): whether each of the matched points agrees with the model of its group."""
 
     def kernel(pdf: pd.DataFrame) -> dict:
         ordered = pdf.sort_values(["ax", "ay", "bx", "by"])
         inside = images.agreeing(ordered[["ax", "ay"]].to_numpy(float), ordered[["bx", "by"]].to_numpy(float), trials)
-        n, k = len(inside), int(inside.sum())
-        return {"matches": [n], "inliers": [k], "supported": [n >= 20 and k >= 12 and k >= 0.25 * n]}
+        return {**{c: ordered[c].to_numpy(float) for c in ("ax", "ay", "bx", "by")}, "inside": inside}
 
-    return per_group(points.select(*keys, "ax", "ay", "bx", "by"), keys, f"{key_schema}, matches long, inliers long, supported boolean", kernel)
+    return per_group(points.select(*keys, *[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")]), keys, f"{key_schema}, ax double, ay double, bx double, by double, inside boolean", kernel)
 
 
 def shifts(frames: DataFrame, keys: list[str], key_schema: str, order: str, pixels: str, rows: int, columns: int) -> DataFrame:

@@ -18,7 +18,7 @@ def replayed(frames: DataFrame, mapping: DataFrame, keys: list[str], key_schema:
     partner of the frame before the window; free is the best of all candidates.
     """
     signals = kernels.two_runs(frames, keys, value)
-    partners = mapping.filter(F.col("runB_frame").isNotNull()).select(*keys, F.lit("mapped").alias("run"), F.col("runA_frame").alias("ordinal"), F.col("runB_frame").cast("double").alias("value"))
+    partners = kernels.partners_of(mapping, keys)
     names = ("runA_frame", "coarse", "submitted", "replayed", "free", "score_at_pick", "score_at_free", "admissible", "candidates")
 
     def kernel(pdf: pd.DataFrame) -> dict:

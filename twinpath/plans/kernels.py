@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import alignment, kernels
+from ..operators import alignment, geometry, kernels
 from ..sources import adapter
 from ..sources.adapter import PAIR, STREAM, with_sql
 from .catalog import query
+from .sequences import events
 
 PAIR_SCHEMA = "recording long, camera string"
 STREAM_SCHEMA = "recording long, run string, camera string"
@@ -38,10 +39,21 @@ def sequence_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.uniqueness(adapter.frames(spark, sf_dir), PAIR, PAIR_SCHEMA, "luma")
 
 
+def holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings here are shorter than those that the defaults are made for."""
+    return kernels.holdout(adapter.frames(spark, sf_dir), adapter.mapping(spark, sf_dir), PAIR, PAIR_SCHEMA, "luma", widths=(20, 40, 80), edge=12, guard=3)
+
+
 @query()
 def abstention_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Absence detected in seeded holes."""
-    return kernels.holdout(adapter.frames(spark, sf_dir), PAIR, PAIR_SCHEMA, "luma")
+    """Abstention where seeded holes take the evidence away, and elsewhere."""
+    return holes(spark, sf_dir)
+
+
+@query()
+def holdout_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detection and false alarms by the width of the hole."""
+    return kernels.holdout_rates(holes(spark, sf_dir), PAIR)
 
 
 @query()
@@ -65,13 +77,25 @@ def bootstrap_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.bootstrap_median(adapter.frames(spark, sf_dir), STREAM, STREAM_SCHEMA, "luma")
 
 
-@query()
-def geometry_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Support of matched points for one projective map, for each supplier: a map plus outliers, by arithmetic."""
+def point_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matched points for each supplier: a map plus outliers, by arithmetic."""
     rows = adapter.table(spark, sf_dir, "lineitem")
     x, y = (F.col("l_extendedprice") % 896), (F.col("l_quantity") * 13 % 672)
     wrong = F.when(F.col("l_linenumber") % 3 == 0, F.col("l_partkey") % 200).otherwise(0)
-    return kernels.verified(rows.select("l_suppkey", x.alias("ax"), y.alias("ay"), (x * 1.02 + 5 + wrong).alias("bx"), (y * 0.98 - 3 - wrong).alias("by")), ["l_suppkey"], "l_suppkey long")
+    return rows.filter("l_orderkey % 8 = 0").select("l_suppkey", x.alias("ax"), y.alias("ay"), (x * 1.02 + 5 + wrong).alias("bx"), (y * 0.98 - 3 - wrong).alias("by"))
+
+
+@query()
+def geometry_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Support of matched points for the better of two models, by eight clauses."""
+    return geometry.verified(point_pairs(spark, sf_dir), ["l_suppkey"], "l_suppkey long", (896, 672), (896, 672))
+
+
+@query()
+def resolution_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs verified at four rasters, and the raster that passes most."""
+    pairs = point_pairs(spark, sf_dir).filter("l_suppkey <= 12")
+    return geometry.resolution_study(pairs, ["l_suppkey"], "l_suppkey long", (896, 672), [(448, 336), (640, 480), (896, 672), (1440, 1080)], trials=200)
 
 
 @query()
@@ -95,8 +119,8 @@ def align_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def posterior_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The posterior with loop closure, and its decision."""
-    return alignment.closed_posterior(adapter.frames(spark, sf_dir), PAIR, PAIR_SCHEMA, "luma")
+    """The posterior with events, speeds, loop closure and the pass by structure, and its decision."""
+    return alignment.closed_posterior(adapter.frames(spark, sf_dir), PAIR, PAIR_SCHEMA, "luma", events=events(spark, sf_dir), speed="p99", structure=True)
 
 
 @query(

@@ -15,24 +15,6 @@ PAIR_SCHEMA = "recording long, camera string"
 STREAM_SCHEMA = "recording long, run string, camera string"
 
 
-@query()
-def dtw_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coarse monotone paths between the two runs."""
-    return kernels.dtw(adapter.frames(spark, sf_dir), PAIR, PAIR_SCHEMA, "luma")
-
-
-@query()
-def viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Refinement by the best sequence of bounded steps."""
-    return kernels.refined(adapter.frames(spark, sf_dir), PAIR, PAIR_SCHEMA, "luma", "sloped")
-
-
-@query()
-def forward_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posterior of the alignment, with an absent state."""
-    return kernels.posterior(adapter.frames(spark, sf_dir), PAIR, PAIR_SCHEMA, "luma")
-
-
 @query()
 def sequence_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uniqueness margins along the coarse path."""

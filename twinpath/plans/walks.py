@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import dynamic
 from ..operators import closure as close
 from ..operators import kernels, probe, selection
 from ..operators import sequences as seq
@@ -264,3 +265,94 @@ def other_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = replay(spark, sf_dir).withColumn("score_at_pick", F.when(~F.isnan("score_at_pick"), F.col("score_at_pick")))
     made = probe.scored_others(adapter.methods(spark, sf_dir), found, adapter.frames(spark, sf_dir), PAIR, "luma")
     return made.select(*[F.round(c, 6).alias(c) if c.startswith("median") else F.col(c) for c in made.columns])
+
+
+# -- paths and posteriors
+
+#: Stands for infinity, where sums stay what they are.
+FAR = "1e300"
+
+
+def _soft(x: str) -> str:
+    """The strided running mean of `smooth_similarity`, zeros beyond the ends."""
+    near = " + ".join(f"(CASE WHEN i + ({d}) BETWEEN 0 AND len({x}) - 1 THEN {x}[i + ({d}) + 1] ELSE 0e0 END) * 0.2" for d in range(-2, 3))
+    return f"list_transform(range(0, len({x}), 4), lambda i: {near})"
+
+
+STRIDED = f"""{SIGNALS.rstrip()},
+strided AS (SELECT {P}, {_soft("a")} AS x, {_soft("b")} AS y, len(b) / CAST(len(a) AS DOUBLE) AS slope FROM signals)
+"""
+MOVES_SQL = "[" + ", ".join(f"{{'r': {r}, 'c': {c}, 'p': {dynamic.SLOPE_WEIGHT} * abs(ln({c}.0 / {r}.0 / slope)) + {dynamic.SKIP_WEIGHT} * {r + c - 2}}}" for r, c in dynamic.MOVES) + "]"
+
+
+@query(
+    recursive(with_sql("frames")).rstrip() + ",\n" + STRIDED.rstrip()
+    + f""",
+moved AS (SELECT *, {MOVES_SQL} AS moves FROM strided),
+walk AS (SELECT {P}, CAST(0 AS BIGINT) AS i, list_transform(range(len(y)), lambda j: CASE WHEN j = 0 THEN 1 - exp(-abs(x[1] - y[1]) / 20) ELSE {FAR} END) AS t1, list_transform(y, lambda z: {FAR}) AS t2, list_transform(y, lambda z: {FAR}) AS t3, [list_transform(y, lambda z: CAST(-1 AS INTEGER))] AS came FROM moved
+  UNION ALL SELECT {P}, i, list_transform(best, lambda b: b.t), t1, t2, list_append(came, list_transform(best, lambda b: CAST(b.k AS INTEGER))) FROM (SELECT {P}, i, t1, t2, came, list_transform(reach, lambda o: CASE WHEN list_min(o) >= 1e299 THEN {{'t': {FAR}, 'k': -1}} ELSE {{'t': list_min(o), 'k': list_position(o, list_min(o)) - 1}} END) AS best FROM
+    (SELECT w.{P.replace(", ", ", w.")}, w.i + 1 AS i, w.t1, w.t2, w.came, list_transform(range(len(m.y)), lambda j: list_transform(m.moves, lambda v: CASE WHEN j < v.c THEN {FAR} ELSE (CASE v.r WHEN 1 THEN w.t1 WHEN 2 THEN w.t2 ELSE w.t3 END)[j - v.c + 1] + v.r * (1 - exp(-abs(m.x[w.i + 2] - m.y[j + 1]) / 20)) + v.p END)) AS reach
+      FROM walk w JOIN moved m ON m.recording = w.recording AND m.camera = w.camera WHERE w.i + 1 < len(m.x)))),
+ends AS (SELECT {P}, max(i) AS last, arg_max(t1, i) AS t, arg_max(came, i) AS came FROM walk GROUP BY ALL),
+back AS (SELECT {P}, CAST(0 AS BIGINT) AS n, last AS r, CAST(list_position(t, list_min(t)) - 1 AS BIGINT) AS c FROM ends WHERE list_min(t) < 1e299
+  UNION ALL SELECT b.{P.replace(", ", ", b.")}, n + 1, r - [{", ".join(str(r) for r, _ in dynamic.MOVES)}][e.came[r + 1][c + 1] + 1], c - [{", ".join(str(c) for _, c in dynamic.MOVES)}][e.came[r + 1][c + 1] + 1] FROM back b JOIN ends e ON e.recording = b.recording AND e.camera = b.camera WHERE e.came[r + 1][c + 1] >= 0)
+SELECT {P}, max(n) OVER (PARTITION BY {P}) - n AS position, r * 4 AS "row", c * 4 AS "column" FROM back"""
+)
+def dtw_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coarse monotone paths between the two runs."""
+    return kernels.dtw(adapter.frames(spark, sf_dir), PAIR, PAIR_SCHEMA, "luma")
+
+
+_AROUND = f"list_transform(range(17), lambda j: CASE WHEN centre + j - 8 BETWEEN 0 AND len(b) - 1 THEN -abs(a[i + 1] - b[centre + j - 7]) ELSE -{FAR} END)"
+
+
+@query(
+    recursive(with_sql("frames")).rstrip() + ",\n" + SIGNALS.rstrip()
+    + f""",
+scored AS (SELECT {P}, i, centre, {_AROUND} AS s FROM (SELECT *, {CENTRE.format("i")} AS centre FROM (SELECT *, unnest(range(len(a))) AS i FROM signals))),
+walk AS (SELECT {P}, i, centre, s AS total, [list_transform(s, lambda x: CAST(-1 AS INTEGER))] AS back FROM scored WHERE i = 0
+  UNION ALL SELECT {P}, i, centre, list_transform(range(17), lambda j: list_max(reach[j + 1]) + s[j + 1]), list_append(back, list_transform(range(17), lambda j: CAST(list_position(reach[j + 1], list_max(reach[j + 1])) - 1 AS INTEGER))) FROM
+    (SELECT {P}, i, centre, s, back, list_transform(range(17), lambda j: list_transform(range(17), lambda k: CASE WHEN up + j - k BETWEEN 0 AND {dynamic.MOST_STEP} THEN total[k + 1] - {dynamic.REFINE_WEIGHT} * abs(up + j - k - 1) ELSE -{FAR} END)) AS reach FROM
+      (SELECT c.{P.replace(", ", ", c.")}, c.i, c.centre, c.s, w.total, w.back, c.centre - w.centre AS up FROM walk w JOIN scored c ON c.recording = w.recording AND c.camera = w.camera AND c.i = w.i + 1))),
+ends AS (SELECT {P}, max(i) AS last, arg_max(total, i) AS total, arg_max(back, i) AS back FROM walk GROUP BY ALL),
+traced AS (SELECT {P}, last AS i, CAST(list_position(total, list_max(total)) - 1 AS BIGINT) AS j FROM ends
+  UNION ALL SELECT t.{P.replace(", ", ", t.")}, t.i - 1, e.back[t.i + 1][t.j + 1] FROM traced t JOIN ends e ON e.recording = t.recording AND e.camera = t.camera WHERE t.i > 0)
+SELECT {P}, i AS "runA_frame", max(centre + j - 8) OVER (PARTITION BY {P} ORDER BY i) AS "runB_frame" FROM traced JOIN scored USING ({P}, i)"""
+)
+def viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refinement by the best sequence of bounded steps."""
+    return kernels.refined(adapter.frames(spark, sf_dir), PAIR, PAIR_SCHEMA, "luma", "sloped")
+
+
+_TAPS = [w / sum(dynamic.KERNEL) for w in dynamic.KERNEL]
+
+
+def _stepped(x: str, sign: str) -> str:
+    """A list convolved with the steps, forth (-) or back (+)."""
+    return f"list_transform(range(len({x})), lambda j: " + " + ".join(f"(CASE WHEN j {sign} {k} BETWEEN 0 AND len({x}) - 1 THEN {x}[j {sign} {k} + 1] ELSE 0e0 END) * {w!r}" for k, w in enumerate(_TAPS)) + ")"
+
+
+_ZIP = "list_transform(range(len({0})), lambda j: {1})"
+LEAVE, RETURN = dynamic.LEAVE, dynamic.RETURN
+
+
+@query(
+    recursive(with_sql("frames")).rstrip() + ",\n" + STRIDED.rstrip()
+    + f""",
+alike AS (SELECT {P}, i, list_transform(y, lambda z: exp(-abs(x[i + 1] - z) / 20)) AS s FROM (SELECT *, unnest(range(len(x))) AS i FROM strided)),
+spread AS (SELECT {P}, i, s, list_aggregate(s, 'median') AS m, list_aggregate(list_transform(s, lambda z: abs(z - list_aggregate(s, 'median'))), 'median') AS d FROM alike),
+emitted AS (SELECT {P}, i, e, list_avg(e) AS absent FROM (SELECT {P}, i, list_transform(s, lambda z: exp(greatest(least((z - m) / greatest(1.4826 * d, 0.0001), 8), -8))) AS e FROM spread)),
+forth AS (SELECT {P}, i, list_transform(m, lambda z: z / t) AS m, list_transform(g, lambda z: z / t) AS g, t FROM (SELECT *, list_sum(m) + list_sum(g) AS t FROM (SELECT {P}, i, list_transform(e, lambda z: z / len(e) * (1 - {LEAVE})) AS m, list_transform(e, lambda z: absent / len(e) * {LEAVE}) AS g FROM emitted WHERE i = 0))
+  UNION ALL SELECT {P}, i, list_transform(m, lambda z: z / t), list_transform(g, lambda z: z / t), t FROM (SELECT *, list_sum(m) + list_sum(g) AS t FROM
+    (SELECT {P}, i, {_ZIP.format("e", f"e[j + 1] * ((1 - {LEAVE}) * fm[j + 1] + {RETURN} * fg[j + 1])")} AS m, {_ZIP.format("e", f"absent * ({LEAVE} * fm[j + 1] + (1 - {RETURN}) * fg[j + 1])")} AS g FROM
+      (SELECT n.{P.replace(", ", ", n.")}, n.i, n.e, n.absent, {_stepped("f.m", "-")} AS fm, {_stepped("f.g", "-")} AS fg FROM forth f JOIN emitted n ON n.recording = f.recording AND n.camera = f.camera AND n.i = f.i + 1)))),
+aft AS (SELECT f.{P.replace(", ", ", f.")}, f.i, list_transform(f.m, lambda z: 1e0) AS bm, list_transform(f.m, lambda z: 1e0) AS bg FROM forth f JOIN (SELECT {P}, max(i) AS i FROM emitted GROUP BY ALL) l ON l.recording = f.recording AND l.camera = f.camera AND l.i = f.i
+  UNION ALL SELECT {P}, i - 1, {_ZIP.format("nm", f"((1 - {LEAVE}) * nm[j + 1] + {LEAVE} * ng[j + 1]) / t")}, {_ZIP.format("nm", f"({RETURN} * nm[j + 1] + (1 - {RETURN}) * ng[j + 1]) / t")} FROM
+    (SELECT {P}, i, t, {_stepped("em", "+")} AS nm, {_stepped("eg", "+")} AS ng FROM (SELECT b.{P.replace(", ", ", b.")}, b.i, f.t, {_ZIP.format("n.e", "n.e[j + 1] * b.bm[j + 1]")} AS em, list_transform(b.bg, lambda z: n.absent * z) AS eg FROM aft b JOIN emitted n ON n.recording = b.recording AND n.camera = b.camera AND n.i = b.i JOIN forth f ON f.recording = b.recording AND f.camera = b.camera AND f.i = b.i WHERE b.i > 0))),
+posted AS (SELECT {P}, i, pm, list_sum(pm) + list_sum(pg) AS t, list_sum(pg) AS gone, list_position(pm, list_max(pm)) - 1 AS peak FROM (SELECT f.{P.replace(", ", ", f.")}, f.i, {_ZIP.format("f.m", "f.m[j + 1] * b.bm[j + 1]")} AS pm, {_ZIP.format("f.m", "f.g[j + 1] * b.bg[j + 1]")} AS pg FROM forth f JOIN aft b ON b.recording = f.recording AND b.camera = f.camera AND b.i = f.i))
+SELECT {P}, i * 4 AS "row", peak * 4 AS "column", round("window", 6) AS "window", round(gone / t, 6) AS absent, gone / t <= 0.05 AND "window" >= 0.30 AS accepted FROM (SELECT *, list_sum(list_transform(range(greatest(peak - 2, 0), least(peak + 3, len(pm))), lambda j: pm[j + 1])) / t AS "window" FROM posted)"""
+)
+def forward_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior of the alignment, with an absent state."""
+    found = kernels.posterior(adapter.frames(spark, sf_dir), PAIR, PAIR_SCHEMA, "luma")
+    return found.withColumn("window", F.round("window", 6)).withColumn("absent", F.round("absent", 6))

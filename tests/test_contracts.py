@@ -48,10 +48,13 @@ def test_similarity_operators(spark):
     a = spark.createDataFrame(vectors, "k string, ordinal long, v array<double>")
     pairs = similarity.pairs(a, a, ["k"])
     assert pairs.count() == 36 and {r["s"] for r in pairs.collect()} == {0.0, 1.0}
-    best = similarity.top_k(pairs.filter("a <> b"), ["k"], "a", "b", "s", 1).orderBy("a").collect()
-    assert [r["b"] for r in best] == [2, 3, 0, 1, 0, 1]
-    weights = similarity.kernel(pairs, ["k"], 2, 0.5).groupBy("a").agg(F.sum("weight").alias("w")).collect()
-    assert all(r["w"] == 1.0 for r in weights)
+    best = similarity.top_k(a, a, ["k"], "k string", 2).filter("a <> b AND rank = 2").orderBy("a").collect()
+    assert [(r["a"], r["b"]) for r in best] == [(0, 2), (1, 3), (4, 2), (5, 3)]
+    weights = similarity.same_place(a, a, ["k"], "k string", 2, 0.5).groupBy("a").agg(F.sum("weight").alias("w")).collect()
+    assert len(weights) == 6 and all(r["w"] == 1.0 for r in weights)
+    assert similarity.alike(a, ["k"], "k string", 4, 0.5).orderBy("a").collect() == [("k", 0, 4, 1.0), ("k", 1, 5, 1.0)]
+    assert similarity.distant_ranks(a, ["k"], "k string", (3,), 2).first()["rank"] == 3
+    assert similarity.top_k(a.limit(0), a.limit(0), ["k"], "k string", 2).count() == 0
 
 
 def test_entry_without_the_llm_folder(tmp_path):

@@ -19,14 +19,6 @@ def gradient(image: np.ndarray) -> np.ndarray:
     return np.hypot(dx, dy)
 
 
-def structure(image: np.ndarray, rows: int = 12, columns: int = 16) -> np.ndarray:
-    """Mean gradient on a grid, its mean removed, of unit length."""
-    g = gradient(image)
-    parts = [block.mean() for band in np.array_split(g, rows, axis=0) for block in np.array_split(band, columns, axis=1)]
-    v = np.asarray(parts) - np.mean(parts)
-    return v / max(np.linalg.norm(v), 1e-8)
-
-
 def phase_shift(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     """(dy, dx) of b against a by phase correlation, with a parabola through the peak."""
     spectrum = np.fft.fft2(b - b.mean()) * np.conj(np.fft.fft2(a - a.mean()))
@@ -43,15 +35,6 @@ def phase_shift(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     return shift[0], shift[1]
 
 
-def translated(image: np.ndarray, dx: int, dy: int) -> np.ndarray:
-    """The image moved by whole pixels, black where nothing comes from."""
-    out = np.zeros_like(image)
-    h, w = image.shape[:2]
-    if abs(dx) < w and abs(dy) < h:
-        out[max(dy, 0) : h + min(dy, 0), max(dx, 0) : w + min(dx, 0)] = image[max(-dy, 0) : h + min(-dy, 0), max(-dx, 0) : w + min(-dx, 0)]
-    return out
-
-
 def labelled(mask: np.ndarray) -> np.ndarray:
     """Connected components by edges, numbered from 1, by flooding from seeds."""
     labels, number = np.zeros(mask.shape, dtype=np.int32), 0
@@ -96,28 +79,6 @@ def sky(median: np.ndarray, bright: float, smooth: float) -> np.ndarray:
     return np.isin(labels, top[top > 0])
 
 
-def resized(mask: np.ndarray, rows: int, columns: int) -> np.ndarray:
-    """A mask at another size: bilinear, then at one half."""
-    y = np.clip((np.arange(rows) + 0.5) * mask.shape[0] / rows - 0.5, 0, mask.shape[0] - 1)
-    x = np.clip((np.arange(columns) + 0.5) * mask.shape[1] / columns - 0.5, 0, mask.shape[1] - 1)
-    y0, x0 = y.astype(int), x.astype(int)
-    y1, x1 = np.minimum(y0 + 1, mask.shape[0] - 1), np.minimum(x0 + 1, mask.shape[1] - 1)
-    fy, fx = (y - y0)[:, None], (x - x0)[None, :]
-    m = mask.astype(float)
-    top = m[y0][:, x0] * (1 - fx) + m[y0][:, x1] * fx
-    low = m[y1][:, x0] * (1 - fx) + m[y1][:, x1] * fx
-    return top * (1 - fy) + low * fy >= 0.5
-
-
-def yaw(a: np.ndarray, b: np.ndarray, reach: int = 140) -> tuple[int, float]:
-    """The circular shift of columns that correlates best, and how far its peak stands out."""
-    a, b = a - a.mean(), b - b.mean()
-    scale = np.linalg.norm(a) * np.linalg.norm(b) or 1.0
-    scores = np.array([(a * np.roll(b, -s, axis=-1)).sum() / scale for s in range(-reach, reach + 1)])
-    best = int(scores.argmax())
-    return best - reach, float((scores[best] - scores.mean()) / (scores.std() or 1.0))
-
-
 def mutual_matches(a: np.ndarray, b: np.ndarray, ratio: float = 0.8) -> np.ndarray:
     """(i, j) of unit descriptors that are each other's nearest, clearly nearer than the next."""
     if len(a) < 2 or len(b) < 2:
@@ -196,8 +157,3 @@ def agreeing(p: np.ndarray, q: np.ndarray, trials: int = 750, seed: int = 42, mo
             if inside.sum() > best.sum():
                 best = inside
     return best
-
-
-def rootsift(descriptors: np.ndarray) -> np.ndarray:
-    """Hellinger normalisation: the square root of rows that sum to 1."""
-    return np.sqrt(descriptors / np.maximum(descriptors.sum(axis=1, keepdims=True), 1e-8))

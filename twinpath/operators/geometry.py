@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import images
 from . import kernels, pictures
 
 #: Matches, inliers and their share that support needs; what its points must cover is `pictures.supported`.
@@ -14,6 +17,24 @@ LEAST_MATCHES, LEAST_INLIERS, LEAST_RATIO = 20, 12, 0.25
 SPREAD = ("cells", "rows_", "columns_", "spread_x", "spread_y")
 
 
+def matched(features: DataFrame, keys: list[str], key_schema: str, ratio: float = 0.8) -> DataFrame:
+    """(keys, i, j, ax, ay, bx, by) of features (keys, run, number, x, y, v) of two images that are each other's nearest, clearly nearer than the next.
+
+    v are unit descriptors; run tells the images apart. A pair of images is one
+    matrix of distances.
+    """
+
+    def kernel(pdf: pd.DataFrame) -> dict:
+        a, b = (pdf[pdf["run"] == run].sort_values("number") for run in ("runA", "runB"))
+        stacked = lambda df: np.stack(df["v"].to_numpy()).astype(float) if len(df) else np.zeros((0, 1))
+        found = images.mutual_matches(stacked(a), stacked(b), ratio) if len(a) and len(b) else np.zeros((0, 2), dtype=int)
+        p, q = a.iloc[found[:, 0]], b.iloc[found[:, 1]]
+        return {"i": p["number"].to_numpy(), "j": q["number"].to_numpy(), **{f"{side}{c}": df[c].to_numpy(float) for side, df in (("a", p), ("b", q)) for c in ("x", "y")}}
+
+    rows = features.select(*keys, "run", "number", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("v").cast("array<double>").alias("v"))
+    return kernels.per_group(rows, keys, f"{key_schema}, i long, j long, ax double, ay double, bx double, by double", kernel)
+
+
 def verified(points: DataFrame, keys: list[str], key_schema: str, raster_a: tuple[int, int], raster_b: tuple[int, int], trials: int = 750) -> DataFrame:
     """(keys, matches, inliers, inlier_ratio, cells, rows_, columns_, spread_x, spread_y, supported) of matched points (ax, ay, bx, by).
 

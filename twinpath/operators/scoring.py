@@ -76,15 +76,20 @@ def peak_shift(sweep: DataFrame, keys: list[str]) -> DataFrame:
     return sweep.groupBy(*keys).agg(F.max_by("shift", order).alias("peak"), F.max("precision").alias("precision"))
 
 
-def risk_coverage(rows: DataFrame, keys: list[str], margin: str, right: Column) -> DataFrame:
-    """(keys, threshold, accepted, wrong, risk, coverage) at each distinct margin, accepting from the largest down, and one row that rejects all."""
-    counted = rows.groupBy(*keys, F.col(margin).alias("threshold")).agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(~right, 1)).alias("_wrong"))
+def risk_coverage(rows: DataFrame, keys: list[str], margin: str, right: Column, places: int | None = None) -> DataFrame:
+    """(keys, threshold, accepted, wrong, risk, coverage) at each distinct margin, accepting from the largest down, and one row that rejects all.
+
+    A key's curve is one task's work and has as many rows as there are distinct
+    margins; `places` rounds these down to so many decimals, which bounds them.
+    """
+    cut = F.col(margin) if places is None else F.floor(F.col(margin) * 10**places) / 10**places
+    counted = rows.groupBy(*keys, cut.alias("threshold")).agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(~right, 1)).alias("_wrong"))
     w = Window.partitionBy(*keys).orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    summed = counted.select(*keys, "threshold", F.sum("_n").over(w).alias("accepted"), F.sum("_wrong").over(w).alias("wrong"), F.sum("_n").over(whole).alias("_all"))
-    curve = summed.select(*keys, "threshold", "accepted", "wrong", F.round(scores.ratio(F.col("wrong"), F.col("accepted")), 4).alias("risk"), F.round(scores.ratio(F.col("accepted"), F.col("_all")), 4).alias("coverage"))
-    none = rows.select(*keys).distinct().select(*keys, F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("bigint").alias("accepted"), F.lit(0).cast("bigint").alias("wrong"), F.lit(None).cast("double").alias("risk"), F.lit(0.0).alias("coverage"))
-    return curve.unionByName(none)
+    summed = counted.select(*keys, "threshold", "_n", F.sum("_n").over(w).alias("accepted"), F.sum("_wrong").over(w).alias("wrong"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_all"))
+    point = F.struct("threshold", "accepted", "wrong", F.round(scores.ratio(F.col("wrong"), F.col("accepted")), 4).alias("risk"), F.round(scores.ratio(F.col("accepted"), F.col("_all")), 4).alias("coverage"))
+    none = F.struct(F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("bigint").alias("accepted"), F.lit(0).cast("bigint").alias("wrong"), F.lit(None).cast("double").alias("risk"), F.lit(0.0).alias("coverage"))
+    points = F.when(F.col("accepted") == F.col("_n"), F.array(point, none)).otherwise(F.array(point))  # a curve's first point brings the one that rejects all
+    return summed.select(*keys, F.explode(points).alias("p")).select(*keys, "p.*")
 
 
 #: Edges of the reliability bins, each closed below and open above.

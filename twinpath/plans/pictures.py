@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pixels, vectors
-from ..operators import matches
+from ..operators import geometry, matches
 from ..operators import pictures as pic
 from ..sources import adapter
 from ..sources.adapter import PAIR, with_sql
@@ -201,6 +201,20 @@ def frame_luma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- matched points
 
+
+@query(
+    with_sql("descriptors").rstrip()
+    + """,
+pairs AS (SELECT a.recording, a.ordinal // 10 AS block, a.ordinal AS i, b.ordinal AS j, sqrt(greatest(2 - 2 * list_dot_product(a.v, b.v), 0)) AS d FROM descriptors a JOIN descriptors b ON a.recording = b.recording AND a.ordinal // 10 = b.ordinal // 10 AND a.run = 'runA' AND b.run = 'runB'),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY recording, i ORDER BY d, j) AS r, lead(d) OVER (PARTITION BY recording, i ORDER BY d, j) AS next, row_number() OVER (PARTITION BY recording, j ORDER BY d, i) AS back FROM pairs)
+SELECT recording, block, i, j, CAST(i * 7 AS DOUBLE) AS ax, CAST(j * 5 AS DOUBLE) AS bx FROM ranked WHERE r = 1 AND back = 1 AND d < 0.97 * next"""
+)
+def matched_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of two images that are each other's nearest, clearly nearer than the next."""
+    d = adapter.descriptors(spark, sf_dir)
+    rows = d.selectExpr("recording", "ordinal div 10 AS block", "run", "ordinal AS number", "ordinal * CASE run WHEN 'runA' THEN 7 ELSE 5 END AS x", "ordinal AS y", "v")
+    return geometry.matched(rows, ["recording", "block"], "recording long, block long", 0.97).select("recording", "block", "i", "j", "ax", "bx")
+
 MEASURED = f"""measured AS (SELECT {P}, a, b, count(*) AS matches, CASE WHEN count(*) >= 15 THEN quantile_cont(bx - ax, 0.5) END AS dx, CASE WHEN count(*) >= 15 THEN quantile_cont("by" - ay, 0.5) END AS dy FROM matched GROUP BY ALL)
 """
 MEASURED_SQL = with_sql("matched").rstrip() + ",\n" + MEASURED

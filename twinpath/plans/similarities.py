@@ -12,7 +12,7 @@ from ..sources.adapter import PAIR, STREAM, with_sql
 from .catalog import query
 from .sequences import EVENTS_SQL, P, S, events, mapping_steps, with_steps
 
-KEYS = ["recording"]
+KEYS, KEY_SCHEMA = ["recording"], "recording long"
 CROSS = "pairs AS (SELECT a.recording, a.ordinal AS a, b.ordinal AS b, round(list_dot_product(a.v, b.v), 6) AS s FROM descriptors a JOIN descriptors b ON a.recording = b.recording AND a.run = 'runA' AND b.run = 'runB')\n"
 SELF = "pairs AS (SELECT a.recording, a.ordinal AS a, b.ordinal AS b, round(list_dot_product(a.v, b.v), 6) AS s FROM descriptors a JOIN descriptors b ON a.recording = b.recording AND a.run = 'runA' AND b.run = 'runA' AND a.ordinal <> b.ordinal)\n"
 CROSS_SQL = with_sql("descriptors").rstrip() + ",\n" + CROSS
@@ -24,15 +24,14 @@ def cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sim.pairs(d.filter("run = 'runA'"), d.filter("run = 'runB'"), KEYS)
 
 
-def own(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = adapter.descriptors(spark, sf_dir).filter("run = 'runA'")
-    return sim.pairs(a, a, KEYS).filter("a <> b")
+def side(spark: SparkSession, sf_dir: str, run: str) -> DataFrame:
+    return adapter.descriptors(spark, sf_dir).filter(F.col("run") == run)
 
 
 @query(CROSS_SQL + "SELECT recording, a, b, s, rank FROM (SELECT *, row_number() OVER (PARTITION BY recording, a ORDER BY s DESC, b) AS rank FROM pairs) WHERE rank <= 5")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most similar frames of run B for each of run A, within a recording."""
-    return sim.top_k(cross(spark, sf_dir), KEYS, "a", "b", "s", 5)
+    return sim.top_k(side(spark, sf_dir, "runA"), side(spark, sf_dir, "runB"), KEYS, KEY_SCHEMA, 5)
 
 
 @query(
@@ -53,26 +52,26 @@ mutual AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY recording, a
 @query(SELF_SQL.rstrip() + ",\n" + MUTUAL + "SELECT recording, a, b, s, rank_a, rank_b FROM mutual")
 def mutual_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distant pairs of run A among each other's five best."""
-    return sim.mutual(own(spark, sf_dir), KEYS, 5, 20, 0.1)
+    return sim.mutual(side(spark, sf_dir, "runA"), KEYS, KEY_SCHEMA, 5, 20, 0.1)
 
 
 @query(CROSS_SQL + "SELECT recording, a, b, round(s / sum(s) OVER (PARTITION BY recording, a), 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY recording, a ORDER BY s DESC, b) AS rank FROM pairs WHERE s > 0.1) WHERE rank <= 15")
 def same_place_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse rows of the fifteen best pairs, summing to one."""
-    return sim.kernel(cross(spark, sf_dir), KEYS, 15, 0.1)
+    return sim.same_place(side(spark, sf_dir, "runA"), side(spark, sf_dir, "runB"), KEYS, KEY_SCHEMA, 15, 0.1)
 
 
 @query(SELF_SQL + "SELECT recording, count(*) FILTER (b - a > 10) AS pairs, count(*) FILTER (b - a > 10 AND s > 0.1) AS over_10, count(*) FILTER (b - a > 10 AND s > 0.2) AS over_20, count(*) FILTER (b - a > 10 AND s > 0.3) AS over_30 FROM pairs GROUP BY recording")
 def aliasing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Look-alike pairs far apart, at three thresholds."""
-    far = lambda t: F.count(F.when((F.col("b") - F.col("a") > 10) & (F.col("s") > t), 1))
-    return own(spark, sf_dir).groupBy("recording").agg(far(-2.0).alias("pairs"), far(0.1).alias("over_10"), far(0.2).alias("over_20"), far(0.3).alias("over_30"))
+    return sim.aliasing(side(spark, sf_dir, "runA"), KEYS, KEY_SCHEMA, 10, {"over_10": 0.1, "over_20": 0.2, "over_30": 0.3})
 
 
 @query(SELF_SQL + "SELECT recording, arg_max(a, s * 1000000000 - a * 1000 - b) AS tail, arg_max(b, s * 1000000000 - a * 1000 - b) AS head, max(s) AS s FROM pairs WHERE a >= 70 AND b < 30 GROUP BY recording")
 def revisit_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best match of the last frames among the first."""
-    rows = own(spark, sf_dir).filter("a >= 70 AND b < 30")
+    a = side(spark, sf_dir, "runA")
+    rows = sim.pairs(a.filter("ordinal >= 70"), a.filter("ordinal < 30"), KEYS)
     best = F.struct(F.col("s"), -F.col("a"), -F.col("b"))
     return rows.groupBy("recording").agg(F.max_by("a", best).alias("tail"), F.max_by("b", best).alias("head"), F.max("s").alias("s"))
 
@@ -80,9 +79,7 @@ def revisit_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(SELF_SQL + "SELECT p.recording, p.a, p.b, count(*) FILTER (q.s > p.s) + 1 AS rank FROM pairs p JOIN pairs q ON q.recording = p.recording AND q.a = p.a AND abs(q.a - q.b) >= 20 WHERE p.b = p.a + 30 OR p.b = p.a + 40 GROUP BY p.recording, p.a, p.b, p.s")
 def nonlocal_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rank of certain candidates among the distant matches of a frame."""
-    far = own(spark, sf_dir).filter("abs(a - b) >= 20")
-    ranked = far.withColumn("rank", F.rank().over(Window.partitionBy("recording", "a").orderBy(F.desc("s"))).cast("bigint"))
-    return ranked.filter("b = a + 30 OR b = a + 40").select("recording", "a", "b", "rank")
+    return sim.distant_ranks(side(spark, sf_dir, "runA"), KEYS, KEY_SCHEMA, (30, 40), 20)
 
 
 @query(with_sql("frames") + f"SELECT {S}, count(*) AS n, round(corr(x, y), 6) AS rho FROM (SELECT {S}, CAST(row_number() OVER (PARTITION BY {S} ORDER BY luma, ordinal) AS DOUBLE) AS x, CAST(row_number() OVER (PARTITION BY {S} ORDER BY p99, ordinal) AS DOUBLE) AS y FROM frames) GROUP BY {S}")

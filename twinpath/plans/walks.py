@@ -14,7 +14,7 @@ from ..sources import adapter
 from ..sources.adapter import PAIR, with_sql
 from .catalog import query
 from .sequences import P, kinks
-from .similarities import MUTUAL, SELF_SQL, own
+from .similarities import MUTUAL, SELF_SQL, side
 
 PAIR_SCHEMA = "recording long, camera string"
 
@@ -147,9 +147,7 @@ thinned AS (SELECT recording, unnest(taken, recursive := true) FROM (SELECT reco
 
 
 def confirmed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = adapter.descriptors(spark, sf_dir).filter("run = 'runB'")
-    theirs = sim.mutual(sim.pairs(b, b, ["recording"]).filter("a <> b"), ["recording"], 5, 20, 0.1)
-    mine = sim.mutual(own(spark, sf_dir), ["recording"], 5, 20, 0.1)
+    mine, theirs = (sim.mutual(side(spark, sf_dir, run), ["recording"], "recording long", 5, 20, 0.1) for run in ("runA", "runB"))
     return close.confirmed(mine.select("recording", "a", "b", "s"), theirs, ["recording"], 6)
 
 
@@ -162,7 +160,7 @@ def confirmed_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(recursive(SELF_SQL).rstrip() + ",\nfar AS (SELECT * FROM pairs WHERE b - a >= 20 AND s >= 0.1),\n" + thinned("far", 15, 40) + "SELECT recording, a, b, s FROM thinned")
 def revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distant look-alikes of run A, thinned greedily."""
-    return kernels.thinned(own(spark, sf_dir).filter("b - a >= 20 AND s >= 0.1"), ["recording"], "recording long", 15, 40)
+    return kernels.thinned(sim.alike(side(spark, sf_dir, "runA"), ["recording"], "recording long", 20, 0.1), ["recording"], "recording long", 15, 40)
 
 
 PARTNER = "CASE WHEN {0} % 11 <> 5 THEN least(99, {0} * 49 // 50 + {0} % 3) END"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pixels
+from . import kernels
 from . import sequences as seq
 
 
@@ -57,3 +58,10 @@ def motion_rows(frames: DataFrame, keys: list[str], order: str, images: str, row
     masks = pairs.select(*keys, order, pixels.changed(F.col("_last"), F.col("_now"), threshold).alias("_mask"))
     shares = masks.select(*keys, order, pixels.average(F.transform("_mask", lambda x: x.cast("double"))).alias("changed_fraction"), pixels.coverage(F.col("_mask"), rows, columns, least=tile_least).alias("tile_coverage"))
     return seq.running_median(shares, keys, order, "changed_fraction", width, "smoothed_changed")
+
+
+def phase_rows(frames: DataFrame, keys: list[str], key_schema: str, order: str, images: str, rows: int, columns: int, width: int) -> DataFrame:
+    """(keys, order, dy, dx, magnitude, smoothed_magnitude): how the edges of each image moved against the one before it."""
+    drawn = frames.select(*keys, order, pixels.edges(F.col(images), rows, columns).alias("_edges"))
+    moved = kernels.shifts(drawn, keys, key_schema, order, "_edges", rows, columns)
+    return seq.running_median(moved.withColumn("magnitude", F.sqrt(F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx"))), keys, order, "magnitude", width, "smoothed_magnitude")

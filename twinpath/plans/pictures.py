@@ -189,6 +189,12 @@ def motion_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(*KEYS, "ordinal", *[F.round(c, 6).alias(c) for c in ("changed_fraction", "tile_coverage", "smoothed_changed")])
 
 
+@query()
+def phase_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the edges of each image moved against the one before it, and the running median of how far."""
+    return pic.phase_rows(adapter.descriptors(spark, sf_dir), KEYS, "recording long, run string", "ordinal", "v", SIZE, SIZE, 5)
+
+
 @query(
     with_sql("descriptors")
     + """SELECT recording, run, ordinal, round(list_avg(y), 6) AS mean, round(list_aggregate(y, 'quantile_cont', 0.99), 6) AS p99 FROM (SELECT recording, run, ordinal, list_transform(range(21), lambda i: (v[i * 3 + 1] * 0.2126 + v[i * 3 + 2] * 0.7152 + v[i * 3 + 3] * 0.0722) * 255) AS y FROM descriptors)"""

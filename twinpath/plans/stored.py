@@ -317,6 +317,14 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(with_sql("mapping") + "SELECT status AS value, count(*) AS rows FROM mapping GROUP BY status")
+def published_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mapping published with its manifest, and what the manifest says."""
+    path = shared_folder(spark, "published")
+    tables.publish(adapter.mapping(spark, sf_dir).select(*PAIR, "runA_frame", "runB_frame", "status", "confidence"), path, "status", {"bridge": 10, "rule": "sloped"})
+    return tables.published(spark, path)
+
+
 # -- elementary streams and raw frames
 
 PICTURES = f"""coded AS (SELECT {S}, ordinal AS decode_index, CASE WHEN ordinal % 32 = 0 THEN 19 ELSE 1 END AS nal_type, CASE WHEN ordinal % 32 = 0 THEN 'I' WHEN (ordinal % 32 - 1) % 4 = 0 THEN 'P' ELSE 'B' END AS slice_type,

@@ -253,3 +253,16 @@ def write_json(spark: SparkSession, path: str, value: object) -> None:
     fs.delete(target, False)
     if not fs.rename(temporary, target):
         raise OSError(f"{path} could not be renamed")
+
+
+def publish(df: DataFrame, path: str, by: str, parameters: dict) -> None:
+    """A table as CSV below path/rows, and path/manifest.json with its parameters and how many rows each value of a column has; the manifest comes last."""
+    write_csv(df, f"{path}/rows")
+    counts = csv(df.sparkSession, f"{path}/rows").groupBy(F.coalesce(by, F.lit("")).alias("value")).count().collect()  # a column of few values
+    write_json(df.sparkSession, f"{path}/manifest.json", {"parameters": parameters, "columns": sorted(df.columns), "rows": sum(r["count"] for r in counts), "counts": {r["value"]: r["count"] for r in counts}})
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """(value, rows) of a manifest; a table without one was never finished."""
+    rows = spark.read.schema("rows bigint, counts map<string, bigint>").json(f"{path}/manifest.json", multiLine=True)
+    return rows.select(F.explode("counts").alias("value", "rows"))

@@ -23,7 +23,9 @@ def test_epipolar_map_of_exact_matches():
     p, q = scene(30, 1)
     f = images.fundamental(p, q)
     assert images.epipolar_errors(f, p, q).max() < 1e-6 and np.linalg.matrix_rank(f / np.abs(f).max(), tol=1e-9) == 2
-    assert images.fundamental(np.ones((8, 2)), q[:8]) is None
+    assert np.isnan(images.fundamental(np.ones((8, 2)), q[:8])).all()
+    several = images.fundamental(np.stack([p[:8], p[8:16]]), np.stack([q[:8], q[8:16]]))
+    assert np.allclose(several[1], images.fundamental(p[8:16], q[8:16])) and images.epipolar_errors(several, p, q).shape == (2, 30)
 
 
 @pytest.mark.parametrize("flat", [False, True])
@@ -46,6 +48,8 @@ def test_support_needs_every_clause(spark):
     assert found["good"]["supported"] and found["good"]["inliers"] == 60 and found["good"]["inlier_ratio"] == 1.0
     assert not found["near"]["supported"] and found["near"]["spread_x"] < 0.2
     assert not found["few"]["supported"] and found["few"]["matches"] == 15
+    lone = geometry.verified(df.limit(3), ["k"], "k string", (896, 672), (896, 672), 20).first()
+    assert (lone["matches"], lone["inliers"], lone["cells"], lone["supported"]) == (3, 0, 0, False)
 
 
 def test_resolution_study_marks_one_best(spark):

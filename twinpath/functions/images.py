@@ -92,55 +92,66 @@ def mutual_matches(a: np.ndarray, b: np.ndarray, ratio: float = 0.8) -> np.ndarr
     return np.stack([rows[keep], order[keep, 0]], axis=1)
 
 
-def homography(p: np.ndarray, q: np.ndarray) -> np.ndarray | None:
-    """The projective map from p to q by least squares, or None where there is none."""
-    rows = []
-    for (x, y), (u, v) in zip(p, q, strict=True):
-        rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y, -u], [0, 0, 0, x, y, 1, -v * x, -v * y, -v]]
-    _, s, vt = np.linalg.svd(np.asarray(rows))
-    return vt[-1].reshape(3, 3) if s[7] > 1e-9 else None
-
-
-def fundamental(p: np.ndarray, q: np.ndarray) -> np.ndarray | None:
-    """The epipolar map between p and q by eight or more matches, centred and scaled for the fit, or None where there is none."""
-
-    def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        middle = x.mean(axis=0)
-        spread = np.sqrt(((x - middle) ** 2).sum(axis=1).mean() / 2)
-        if spread < 1e-12:
-            return x, np.zeros((3, 3))
-        t = np.array([[1 / spread, 0, -middle[0] / spread], [0, 1 / spread, -middle[1] / spread], [0, 0, 1]])
-        return (x - middle) / spread, t
-
-    (a, ta), (b, tb) = scaled(p), scaled(q)
-    if not ta.any() or not tb.any():
-        return None
-    rows = np.column_stack([b[:, 0] * a[:, 0], b[:, 0] * a[:, 1], b[:, 0], b[:, 1] * a[:, 0], b[:, 1] * a[:, 1], b[:, 1], a[:, 0], a[:, 1], np.ones(len(a))])
-    u, s, vt = np.linalg.svd(np.linalg.svd(rows)[2][-1].reshape(3, 3))
-    return tb.T @ (u * [s[0], s[1], 0]) @ vt @ ta
+def homography(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The projective maps from p to q (…, matches, 2) by least squares; NaN where there is none."""
+    (x, y), (u, v) = (np.moveaxis(m, -1, 0) for m in (p, q))
+    one, zero = np.ones_like(x), np.zeros_like(x)
+    rows = np.stack([np.stack([x, y, one, zero, zero, zero, -u * x, -u * y, -u], -1), np.stack([zero, zero, zero, x, y, one, -v * x, -v * y, -v], -1)], -2)
+    _, s, vt = np.linalg.svd(rows.reshape(*x.shape[:-1], -1, 9))
+    return np.where(s[..., 7, None, None] > 1e-9, vt[..., -1, :].reshape(*x.shape[:-1], 3, 3), np.nan)
+
+
+def fundamental(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The epipolar maps between p and q (…, matches, 2) by eight or more matches, centred and scaled for the fit; NaN where there is none."""
+
+    def scaled(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        middle = m.mean(axis=-2, keepdims=True)
+        spread = np.sqrt(((m - middle) ** 2).sum(axis=-1).mean(axis=-1) / 2)
+        fine = spread > 1e-12
+        size = np.where(fine, spread, 1.0)
+        t = np.zeros((*size.shape, 3, 3))
+        t[..., 0, 0] = t[..., 1, 1] = 1 / size
+        t[..., :2, 2] = -middle[..., 0, :] / size[..., None]
+        t[..., 2, 2] = 1
+        return (m - middle) / size[..., None, None], t, fine
+
+    (a, ta, fine_a), (b, tb, fine_b) = scaled(p), scaled(q)
+    (x, y), (u, v) = (np.moveaxis(m, -1, 0) for m in (a, b))
+    rows = np.stack([u * x, u * y, u, v * x, v * y, v, x, y, np.ones_like(x)], axis=-1)
+    left, s, right = np.linalg.svd(np.linalg.svd(rows)[2][..., -1, :].reshape(*x.shape[:-1], 3, 3))
+    s[..., 2] = 0  # every epipolar map has rank two
+    found = np.swapaxes(tb, -1, -2) @ (left * s[..., None, :]) @ right @ ta
+    return np.where((fine_a & fine_b)[..., None, None], found, np.nan)
+
+
+def _with_one(p: np.ndarray) -> np.ndarray:
+    return np.column_stack([p, np.ones(len(p))])
 
 
 def mapping_errors(h: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Pixels between q and where a projective map sends p."""
-    mapped = np.column_stack([p, np.ones(len(p))]) @ h.T
+    """Pixels between q and where projective maps (…, 3, 3) send p."""
+    mapped = _with_one(p) @ np.swapaxes(h, -1, -2)
     with np.errstate(divide="ignore", invalid="ignore"):
-        return np.linalg.norm(mapped[:, :2] / mapped[:, 2:] - q, axis=1)
+        return np.linalg.norm(mapped[..., :2] / mapped[..., 2:] - q, axis=-1)
 
 
 def epipolar_errors(f: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Sampson's distance of matches from an epipolar map."""
-    one = np.ones(len(p))
-    a, b = np.column_stack([p, one]), np.column_stack([q, one])
-    right, left = a @ f.T, b @ f
-    slope = np.sqrt(right[:, 0] ** 2 + right[:, 1] ** 2 + left[:, 0] ** 2 + left[:, 1] ** 2)
+    """Sampson's distance of matches from epipolar maps (…, 3, 3)."""
+    a, b = _with_one(p), _with_one(q)
+    right, left = a @ np.swapaxes(f, -1, -2), b @ f
+    slope = np.sqrt(right[..., 0] ** 2 + right[..., 1] ** 2 + left[..., 0] ** 2 + left[..., 1] ** 2)
     with np.errstate(divide="ignore", invalid="ignore"):
-        return np.abs((b * right).sum(axis=1)) / slope
+        return np.abs((b * right).sum(axis=-1)) / slope
 
 
 #: The models of a pair of images with the matches that one takes and the pixels that a match may be off.
 MODELS = ((fundamental, epipolar_errors, 8, 1.5), (homography, mapping_errors, 4, 3.0))
 
 
+#: Samples that are fitted and compared with all matches at a time.
+TOGETHER = 50
+
+
 def agreeing(p: np.ndarray, q: np.ndarray, trials: int = 750, seed: int = 42, models: tuple = MODELS) -> np.ndarray:
     """Matches that agree with the better of the models, each the best of seeded samples; the first of equals."""
     best = np.zeros(len(p), dtype=bool)
@@ -148,12 +159,10 @@ def agreeing(p: np.ndarray, q: np.ndarray, trials: int = 750, seed: int = 42, mo
         if len(p) < size:
             continue
         rng = np.random.default_rng(seed)
-        for _ in range(trials):
-            pick = rng.choice(len(p), size, replace=False)
-            model = fit(p[pick], q[pick])
-            if model is None:
-                continue
-            inside = errors(model, p, q) <= pixels
-            if inside.sum() > best.sum():
-                best = inside
+        picks = np.array([rng.choice(len(p), size, replace=False) for _ in range(trials)])
+        for part in np.array_split(picks, max(1, -(-trials // TOGETHER))):
+            inside = errors(fit(p[part], q[part]), p, q) <= pixels
+            counts = inside.sum(axis=1)
+            if len(counts) and counts.max() > best.sum():
+                best = inside[int(np.argmax(counts))]
     return best

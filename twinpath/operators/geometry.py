@@ -6,7 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import images
@@ -42,14 +42,12 @@ def verified(points: DataFrame, keys: list[str], key_schema: str, raster_a: tupl
     cover is the lesser of both images. Support needs all eight: matches,
     inliers, their share, cells, rows, columns and both spreads.
     """
-    judged = kernels.inlying(points, keys, key_schema, trials)
-    counts = judged.groupBy(*keys).agg(F.count(F.lit(1)).alias("matches"), F.count_if("inside").alias("inliers"))
-    inside = judged.filter("inside")
-    a, b = (pictures.spatial_support(inside, keys, f"{side}x", f"{side}y", *raster).drop("points").withColumnsRenamed({c: f"_{side}{c}" for c in SPREAD}) for side, raster in (("a", raster_a), ("b", raster_b)))
-    met = counts.join(a, keys, "left").join(b, keys, "left")
-    for c in SPREAD:
-        met = met.withColumn(c, F.coalesce(F.least(f"_a{c}", f"_b{c}"), F.lit(0)))
-    rated = pictures.supported(met.withColumn("inlier_ratio", F.round(F.col("inliers") / F.col("matches"), 4)))
+    inside = kernels.inlying(points, keys, key_schema, trials)
+    seen = lambda name, raster: F.struct(F.lit(name).alias("image"), (F.col(f"{name}x") / raster[0]).alias("x"), (F.col(f"{name}y") / raster[1]).alias("y"))
+    both = inside.select(*keys, "matches", F.explode(F.array(seen("a", raster_a), seen("b", raster_b))).alias("p")).select(*keys, "matches", "p.*")
+    covered = pictures.spatial_support(both, [*keys, "matches", "image"], "x", "y", 1, 1)
+    lesser = covered.groupBy(*keys, "matches").agg(F.max(F.when(F.col("cells") > 0, F.col("points")).otherwise(0)).alias("inliers"), *[F.coalesce(F.min(c), F.lit(0)).alias(c) for c in SPREAD])
+    rated = pictures.supported(lesser.withColumn("inlier_ratio", F.round(F.col("inliers") / F.col("matches"), 4)))
     enough = (F.col("matches") >= LEAST_MATCHES) & (F.col("inliers") >= LEAST_INLIERS) & (F.col("inliers") / F.col("matches") >= LEAST_RATIO)
     return rated.select(*keys, "matches", "inliers", "inlier_ratio", *SPREAD, (enough & F.col("supported")).alias("supported"))
 
@@ -67,5 +65,5 @@ def resolution_study(points: DataFrame, keys: list[str], key_schema: str, raster
         found.append(verified(sized, keys, key_schema, (width, height), (width, height), trials).withColumn("width", F.lit(width)).withColumn("height", F.lit(height)))
     median = lambda c: F.percentile(c, F.lit(0.5))
     rows = reduce(DataFrame.unionByName, found).groupBy("width", "height").agg(F.count(F.lit(1)).alias("pairs"), median("matches").alias("median_matches"), median("inliers").alias("median_inliers"), F.round(F.avg("inlier_ratio"), 4).alias("mean_inlier_ratio"), F.count_if("supported").alias("passed"))
-    best = rows.agg(F.max_by(F.struct("width", "height"), F.struct("passed", -F.col("width") * F.col("height"))).alias("b"))
-    return rows.crossJoin(F.broadcast(best)).withColumn("best", F.struct("width", "height") == F.col("b")).drop("b")
+    best = F.max_by(F.struct("width", "height"), F.struct("passed", -F.col("width") * F.col("height"))).over(Window.partitionBy(F.lit(0)))  # a row for each raster
+    return rows.withColumn("best", F.struct("width", "height") == best)

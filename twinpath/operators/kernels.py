@@ -25,7 +25,9 @@ def per_group(df: DataFrame, keys: list[str], schema: str, kernel: Callable[[pd.
             made.insert(i, key, pdf[key].iloc[0])
         return made
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    # a number that is asked for isn't merged at run time: kernels take long over few bytes
+    dealt = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return dealt.groupBy(*keys).applyInPandas(run, schema)
 
 
 def two_runs(frames: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -217,14 +219,16 @@ def thinned(pairs: DataFrame, keys: list[str], key_schema: str, apart: int = 60,
 
 
 def inlying(points: DataFrame, keys: list[str], key_schema: str, trials: int = 750) -> DataFrame:
-    """(keys, ax, ay, bx, by, inside): whether each of the matched points agrees with the model of its group."""
+    """(keys, matches, ax, ay, bx, by): the matched points that agree with the model of their group, and how many there were; a group without any has one row of nulls."""
+    columns = ["ax", "ay", "bx", "by"]
 
     def kernel(pdf: pd.DataFrame) -> dict:
-        ordered = pdf.sort_values(["ax", "ay", "bx", "by"])
-        inside = images.agreeing(ordered[["ax", "ay"]].to_numpy(float), ordered[["bx", "by"]].to_numpy(float), trials)
-        return {**{c: ordered[c].to_numpy(float) for c in ("ax", "ay", "bx", "by")}, "inside": inside}
+        ordered = pdf.sort_values(columns)
+        inside = images.agreeing(ordered[columns[:2]].to_numpy(float), ordered[columns[2:]].to_numpy(float), trials)
+        kept = ordered.loc[inside, columns] if inside.any() else pd.DataFrame([[np.nan] * 4], columns=columns)
+        return {"matches": len(ordered), **{c: [None if np.isnan(x) else x for x in kept[c]] for c in columns}}
 
-    return per_group(points.select(*keys, *[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")]), keys, f"{key_schema}, ax double, ay double, bx double, by double, inside boolean", kernel)
+    return per_group(points.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]), keys, f"{key_schema}, matches long, {', '.join(f'{c} double' for c in columns)}", kernel)
 
 
 def shifts(frames: DataFrame, keys: list[str], key_schema: str, order: str, pixels: str, rows: int, columns: int) -> DataFrame:
